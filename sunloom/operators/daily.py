@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["system_id"]
-DAY = Window.partitionBy("system_id", "day").orderBy("slot")
-BEFORE, AFTER = DAY.rowsBetween(Window.unboundedPreceding, 0), DAY.rowsBetween(0, Window.unboundedFollowing)
+
+
+def _day():
+    """The slots of a day in order; windows need a session, so not at import."""
+    return Window.partitionBy("system_id", "day").orderBy("slot")
 
 
 def system_quantiles(obs: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def zero_night(value: Column, night: Column) -> Column:
 def interpolate_days(obs: DataFrame, value: str = "value") -> DataFrame:
     """obs with ``filled``: linear between the neighbouring values of a day; the end takes the last value, the start stays null."""
     seen = F.when(F.col(value).isNotNull(), F.struct("slot", F.col(value).alias("v")))
-    marked = obs.withColumns({"l": F.last(seen, True).over(BEFORE), "r": F.first(seen, True).over(AFTER)})
+    marked = obs.withColumns({"l": F.last(seen, True).over(_day().rowsBetween(Window.unboundedPreceding, 0)), "r": F.first(seen, True).over(_day().rowsBetween(0, Window.unboundedFollowing))})
     span = F.col("r.slot") - F.col("l.slot")
     line = F.when(span > 0, F.col("l.v") + (F.col("r.v") - F.col("l.v")) * (F.col("slot") - F.col("l.slot")) / span)
     end = F.when(F.col("r").isNull(), F.col("l.v"))
@@ -69,7 +72,7 @@ def interpolate_days(obs: DataFrame, value: str = "value") -> DataFrame:
 def daily_scores(obs: DataFrame, m: int) -> DataFrame:
     """(system_id, day, density, energy, smoothness, top, missing_share, is_missing): one pass of aggregation over windows of the day."""
     cap = system_quantiles(obs).select(*KEYS, "capacity")
-    bend = F.abs(F.lag("value").over(DAY) - 2 * F.col("value") + F.lead("value").over(DAY))
+    bend = F.abs(F.lag("value").over(_day()) - 2 * F.col("value") + F.lead("value").over(_day()))
     v = F.coalesce("value", F.lit(0.0))
     return (
         obs.withColumn("bend", bend)
@@ -95,7 +98,7 @@ def linearity(obs: DataFrame, m: int) -> DataFrame:
     """(system_id, day, step, n, linearity): the most frequent first difference of a day, rounded to 4 digits; values under .005 of capacity left out, of equal counts the smallest step."""
     cap = system_quantiles(obs).select(*KEYS, "capacity")
     lit = obs.join(cap, KEYS).withColumn("v", F.when(F.col("value") >= 0.005 * F.col("capacity"), F.col("value")))
-    steps = lit.withColumn("step", F.bround(F.col("v") - F.lag("v").over(DAY), 4)).filter("step IS NOT NULL")
+    steps = lit.withColumn("step", F.bround(F.col("v") - F.lag("v").over(_day()), 4)).filter("step IS NOT NULL")
     counts = steps.groupBy(*KEYS, "day", "step").agg(F.count("*").alias("n"))
     # The largest count with the smallest step in one aggregation.
     top = F.max_by(F.struct("n", "step"), F.struct("n", (-F.col("step")).alias("s")))
@@ -104,8 +107,8 @@ def linearity(obs: DataFrame, m: int) -> DataFrame:
 
 def infill_mask(obs: DataFrame) -> DataFrame:
     """obs with ``infill``: values that lie on a line with both neighbours."""
-    left = F.col("value") - F.lag("value").over(DAY)
-    right = F.lead("value").over(DAY) - F.col("value")
+    left = F.col("value") - F.lag("value").over(_day())
+    right = F.lead("value").over(_day()) - F.col("value")
     close = F.abs(left - right) <= 1e-8 + 1e-5 * F.abs(right)
     return obs.withColumn("infill", F.coalesce(close & (F.col("value") != 0), F.lit(False)))
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sunloom.plans import problems
+from sunloom.plans import problems, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **relational.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**relational.SQL}
