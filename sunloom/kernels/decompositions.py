@@ -86,53 +86,79 @@ def steps_and_season(signal: np.ndarray, step_weight: float = 1.0, season_weight
     return x[:m][fold], b @ x[m:]
 
 
-def steps_season_trend(signal: np.ndarray, step_weight: float = 20.0, season_weight: float = 1.0, trend_weight: float = 10.0, use: np.ndarray | None = None, passes: int = 2, harmonics: int = 6) -> dict[str, np.ndarray]:
+def steps_season_trend(signal: np.ndarray, step_weight: float = 20.0, season_weight: float = 1.0, trend_weight: float = 10.0, use: np.ndarray | None = None, passes: int = 2, harmonics: int = 6, start: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Mean |residual| + w2 mean |tv o differences| + |season roughness|^2 + w4 T slope^2, one pass of reweighting.
 
-    The slope lies between -20 % and +5 % a year; the trend starts at 0.  Where the first
-    pass has many minimisers, a small quadratic term on the steps picks one.
+    The slope lies between -20 % and +5 % a year; the trend starts at 0.  The minimiser of
+    the first pass need not be unique.
     """
     n, ok = len(signal), known(signal, use)
     b = fourier(n, harmonics, constant=False)
-    w = fourier_weights(harmonics, season_weight, constant=False)
-    t = np.arange(n, dtype=float)
-    k = b.shape[1]
-    size = n + k + 1
-    p = np.zeros((size, size))
-    p[n : n + k, n : n + k] = 2 * np.diag(w**2)
-    p[-1, -1] = 2 * trend_weight * n
-    p[:n, :n] += 1e-6 * difference_gram(n, 1)
-    y = np.where(ok, signal, 0.0)
-    rows = np.flatnonzero(ok)
-
-    def fit(x):
-        return x[rows] + b[rows] @ x[n : n + k] + t[rows] * x[-1]
-
-    def back(z):
-        out = np.zeros(size)
-        out[rows] = z
-        out[n : n + k] = b[rows].T @ z
-        out[-1] = t[rows] @ z
-        return out
-
-    gram = np.zeros((size, size))
-    gram[rows, rows] = 1
-    wide = np.hstack([b, t[:, None]])[rows]
-    gram[rows, n:], gram[n:, :n][:, rows] = wide, wide.T
-    gram[np.ix_(range(n, size), rows)] = wide.T
-    gram[n:, n:] = wide.T @ wide
-    residual = Term(fit, back, gram, pinball(0.5, 2.0 / max(len(rows), 1), y[rows]), len(rows))
-    slope = np.zeros((1, size))
-    slope[0, -1] = 1
-    bounds = dense_term(slope, within(-0.2 / 365, 0.05 / 365))
+    years = np.arange(n, dtype=float)[:, None] / 365
+    wide = np.hstack([b, years])
+    scale = float(max(ok.sum(), 1))
+    # All terms times the number of days.
+    p = 2 * scale * np.diag(np.r_[fourier_weights(harmonics, season_weight, constant=False) ** 2, trend_weight * n / 365**2])
     tv = np.ones(n - 1)
-    x = np.zeros(size)
-    x[:n] = np.median(signal[ok]) if ok.any() else 0
+    x = (np.full(n, np.median(signal[ok]) if ok.any() else 0.0), np.zeros(wide.shape[1])) if start is None else start
     for _ in range(passes):
-        steps = difference_term(n, 1, 0, size, soft(step_weight * tv / (n - 1)))
-        x = solve(p, np.zeros(size), [residual, steps, bounds], rho=0.05, iterations=1500, tolerance=1e-5, x0=x)
-        tv = 1 / (0.1 + np.abs(np.diff(x[:n])))
-    return {"steps": x[:n], "season": b @ x[n : n + k], "trend": t * x[-1]}
+        weights = scale * step_weight * tv / (n - 1)
+        free = _l1_steps(signal, ok, wide, p, weights, x)
+        bound = float(np.clip(free[1][-1], -0.2, 0.05))
+        if bound != free[1][-1]:
+            # Outside its bounds the slope stays at the bound, and the rest is solved again.
+            s, z = _l1_steps(signal - bound * years[:, 0], ok, wide[:, :-1], p[:-1, :-1], weights, (free[0], free[1][:-1]))
+            free = (s, np.r_[z, bound])
+        x = free
+        tv = 1 / (0.1 + np.abs(np.diff(x[0])))
+    return {"steps": x[0], "season": b @ x[1][:-1], "trend": years[:, 0] * x[1][-1], "solution": x}
+
+
+def _l1_steps(signal: np.ndarray, ok: np.ndarray, wide: np.ndarray, p: np.ndarray, weights: np.ndarray, start: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Minimiser (s, z) of |y - s - Wz|_1 + |weights * differences of s|_1 + 1/2 z'Pz.
+
+    Reweighted least squares on both norms, smoothed less and less; each step solves a
+    tridiagonal system for s with the few columns of W eliminated.
+    """
+    n = len(signal)
+    y = np.where(ok, signal, 0.0)
+    s, z = start[0].copy(), start[1].copy()
+    spread = float(np.median(np.abs(y[ok] - np.median(y[ok])))) if ok.any() else 1.0
+    e = max(spread, 1e-6)
+    end = e * 1e-5
+    while True:
+        for _ in range(6):
+            r, d = y - s - wide @ z, np.diff(s)
+            c, g = ok / np.sqrt(r * r + e * e), weights / np.sqrt(d * d + e * e)
+            main = c + np.r_[g, 0.0] + np.r_[0.0, g] + 1e-12
+            right = np.column_stack([c[:, None] * wide, c * y])
+            solved = _tridiagonal(main, -g, right)
+            cross = wide.T @ (c[:, None] * solved)
+            h = wide.T @ (c[:, None] * wide) + p - cross[:, :-1]
+            z_new = np.linalg.solve(h + 1e-12 * np.eye(len(z)), wide.T @ (c * y) - cross[:, -1])
+            s_new = solved[:, -1] - solved[:, :-1] @ z_new
+            moved = max(np.abs(s_new - s).max(), np.abs(z_new - z).max())
+            s, z = s_new, z_new
+            if moved < 0.1 * e:
+                break
+        if e <= end:
+            return s, z
+        e = max(e * 0.3, end)
+
+
+def _tridiagonal(main: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric tridiagonal system for several right sides."""
+    n = len(main)
+    d, o, f = main.tolist(), off.tolist(), [0.0] * n
+    x = right.copy()
+    for i in range(1, n):
+        f[i] = o[i - 1] / d[i - 1]
+        d[i] -= f[i] * o[i - 1]
+        x[i] -= f[i] * x[i - 1]
+    x[-1] /= d[-1]
+    for i in range(n - 2, -1, -1):
+        x[i] = x[i] / d[i] - f[i + 1] * x[i + 1]
+    return x
 
 
 def _pentadiagonal(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, rhs: np.ndarray) -> np.ndarray:

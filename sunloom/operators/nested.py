@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.session import ship
+
 NODE_SCHEMA = (
     "json_id long, body_no long, entity string, pre int, post int, depth int, position int, "
     "ident string, number int, attrs map<string,string>"
@@ -148,6 +150,7 @@ def site_nodes(bodies: DataFrame, id_col: str = "json_id", body_col: str = "body
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"number": "Int32", "pre": "int32", "post": "int32", "depth": "int32", "position": "int32"})
 
+    ship(bodies.sparkSession)
     source = bodies.select(F.col(id_col).cast("long").alias("json_id"), F.monotonically_increasing_id().alias("body_no"), F.col(body_col).cast("string").alias("body"))
     return source.mapInPandas(label, NODE_SCHEMA)
 

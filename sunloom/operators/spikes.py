@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.kernels import hampel
+from sunloom.session import ship
 
 #: Days of a block and of its margins, for power readings and for weekly fits.
 POWER_BLOCK, POWER_MARGIN = 28, 8
@@ -101,6 +102,7 @@ def flag_readings(measurements: DataFrame | None, fits: DataFrame | None) -> Dat
     blocks = parts[0]
     for p in parts[1:]:
         blocks = blocks.unionByName(p)
+    ship(blocks.sparkSession)
     flags = blocks.repartition("gid", "block").sortWithinPartitions("gid", "block", "t", "row_id").mapInArrow(_judge, _FLAG_SCHEMA)
     names = F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(f).alias("field")) for t, f in FIELDS])
     return flags.withColumn("n", F.element_at(names, F.col("field_no") + 1)).select("n.tab", "row_id", "n.field")

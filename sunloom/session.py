@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE, Arrow)."""
+    # One thread for each task's linear algebra: the tasks already use all cores.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sunloom")
@@ -50,3 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sunloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sunloom-ship-")
+    name = os.path.join(folder, "sunloom_package.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(name)
+    sc._sunloom_shipped = True
