@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sunloom.session import ship
+
 #: Folder of the public vocabulary files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -250,6 +252,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[done : done + offsets[-1]], pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(a + x, y - x), lists], [id_col, "ids"])
 
+    ship(documents.sparkSession)
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
 
@@ -278,5 +281,6 @@ def count_tokens(documents: DataFrame, keep: list[str], text_col: str = "text",
             total = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(total, pa.int64())], [*keep, "n_tokens"])
 
+    ship(documents.sparkSession)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long"
     return documents.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

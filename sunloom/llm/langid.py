@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.session import ship
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja")
 LATIN = 7
 #: Other names of a language that a label may use.
@@ -390,6 +392,7 @@ def label_parts(documents: DataFrame, model: Model | None = None, confidence: bo
     Without ``confidence`` it is 0.
     """
     model = model or fit_model(documents)
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
