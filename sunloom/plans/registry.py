@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sunloom.plans import problems, relational
+from sunloom.plans import analyses, problems, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**problems.QUERIES, **relational.QUERIES}
+    return {**problems.QUERIES, **relational.QUERIES, **analyses.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.SQL}
+    return {**relational.SQL, **problems.SQL, **analyses.SQL}
