@@ -106,6 +106,7 @@ def solve(p: Array, q: Array, terms: list[Term], rho: float = 1.0, iterations: i
     """The minimiser, by over-relaxed ADMM with a step size that follows the residuals."""
     n = len(q)
     gram = sum((t.gram for t in terms), np.zeros((n, n)))
+    first = rho
     x = np.zeros(n) if x0 is None else x0.copy()
     z = [t.apply(x) for t in terms]
     u = [np.zeros(t.size) for t in terms]
@@ -133,8 +134,9 @@ def solve(p: Array, q: Array, terms: list[Term], rho: float = 1.0, iterations: i
         if k in (20, 60, 150, 350, 800, 1600):
             ratio = np.sqrt((primal / max(scale_p, 1e-12)) / max(dual / max(scale_d, 1e-12), 1e-12))
             if ratio > 2 or ratio < 0.5:
-                ratio = float(np.clip(ratio, 0.05, 20))
-                rho *= ratio
+                # Too far from the quadratic form the inverse loses its digits.
+                new_rho = float(np.clip(rho * np.clip(ratio, 0.05, 20), 1e-3 * first, 1e3 * first))
+                ratio, rho = new_rho / rho, new_rho
                 u = [ui / ratio for ui in u]
                 factor = np.linalg.inv(p + rho * gram + 1e-12 * np.eye(n))
     return x

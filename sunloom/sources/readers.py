@@ -85,9 +85,9 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
                     root = ET.fromstring(bytes(content))
                 except ET.ParseError:
                     continue
-                for mark in root.iter("{*}Placemark"):
+                for mark in root.iterfind(".//{*}Placemark"):
                     name = mark.findtext("{*}name") or ""
-                    for c in mark.iter("{*}coordinates"):
+                    for c in mark.iterfind(".//{*}coordinates"):
                         ring = [tuple(map(float, x.split(","))) for x in (c.text or "").split() if x.count(",") == 2]
                         if len(ring) >= 3:
                             rows.append((p, name, *plane_of(ring)))
