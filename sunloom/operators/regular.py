@@ -174,12 +174,14 @@ def regular_series(df: DataFrame, meta: DataFrame, method: str = "linear") -> Da
     # A reading of the day before that is nearest to this midnight.
     over = F.when(_slot(before["ms"]) == m, F.array(placed(before, before["ms"] - DAY_MS)))
     all_in = F.array_sort(F.concat(own, F.coalesce(over, F.array().cast("array<struct<i:int,far:int,ms:int,value:double>>"))))
-    nearest = F.filter(all_in, lambda x, k: (k == 0) | (x["i"] != F.get(all_in, k - 1)["i"]))
-    cells = state.select(
-        *SOURCE, "step", "day", "before", "after", F.filter(nearest, lambda x: x["i"] < m).alias("own")
-    ).select(
-        *SOURCE, "step", "day", "before", "after", F.explode(F.sequence(F.lit(0), m - 1)).alias("i"), F.map_from_entries(F.transform("own", lambda x: F.struct(x["i"], x["value"]))).alias("by_slot")
-    ).withColumn("value", F.try_element_at("by_slot", "i"))
+    # A column of its own: sorted once a shard, and not again for each element that is compared with the one before.
+    placed_rows = state.select(*SOURCE, "step", "day", "before", "after", all_in.alias("placed"))
+    nearest = F.filter("placed", lambda x, k: (x["i"] < m) & ((k == 0) | (x["i"] != F.get("placed", k - 1)["i"])))
+    by_slot = placed_rows.select(
+        *SOURCE, "step", "day", "before", "after", F.map_from_entries(F.transform(nearest, lambda x: F.struct(x["i"], x["value"]))).alias("by_slot")
+    )
+    grid = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(i.alias("i"), F.try_element_at("by_slot", i).alias("value")))
+    cells = by_slot.select(*SOURCE, "step", "day", "before", "after", F.explode(grid).alias("cell")).select(*SOURCE, "step", "day", "before", "after", "cell.i", "cell.value")
     shard = Window.partitionBy(*SOURCE, "day").orderBy("i")
     seen = F.when(F.col("value").isNotNull(), F.struct("i", "value"))
     days_off = lambda c: F.date_diff(F.col(f"{c}.day"), F.col("day")) * m
