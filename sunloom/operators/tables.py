@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.operators.timeaxis import first_of_each_time
-from sunloom.session import ship
+from sunloom.session import spread
 
 
 def long_to_wide(df: DataFrame, index: list[str], name: str, value: str, names: list[str], order: list[str]) -> DataFrame:
@@ -97,5 +97,4 @@ def apply_by_system(df: DataFrame, keys: list[str], kernel: Callable, schema: st
             row["error"] = [f"{type(e).__name__}: {e}"[:300]]
             return pd.DataFrame(row)
 
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return spread(df, *keys).groupBy(*keys).applyInPandas(run, schema)

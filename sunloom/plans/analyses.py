@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.operators import regular
-from sunloom.plans import pipeline
+from sunloom.plans import pipeline, studies
 from sunloom.session import table
 from sunloom.streaming.daily import daily_stream, outages
 
@@ -43,8 +43,37 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("system_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-QUERIES = {f.__name__: f for f in (fleet_daily, fleet_report, regular_power, stream_daily, stream_sessions)}
+def parameter_trends(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly change of each system's shunt resistance."""
+    parts = studies.parameter_components(table(spark, folder, "pvpro_results"), "resistance_shunt", ["site", "system"])
+    return studies.yearly_change(parts, ["site", "system"])
+
+
+def day_of_year(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day"), "o_orderstatus").agg(F.max("o_totalprice").alias("value"))
+    d = studies.daily_median_by_day_of_year(o, ["o_orderstatus"])
+    return d.select("o_orderstatus", "doy", F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"))
+
+
+def sensor_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of two columns of the parameter fits predicts the power of a system best."""
+    p = table(spark, folder, "pvpro_results").select("system", "ts", "row_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("i_mp", "v_mp", "p_mp")])
+    long = p.unpivot(["system", "ts", "p_mp"], ["i_mp", "v_mp"], "sensor", "x")
+    scores = studies.sensor_scores(long, ["system"], "sensor", "x", "p_mp", "ts", 5)
+    return scores.select("system", "sensor", "n", F.round("rmse", 6).alias("rmse"))
+
+
+def sun_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean scaled power by the sun's place, over all hourly values of the events."""
+    o = table(spark, folder, "events").groupBy(F.col("event_type").alias("system_id"), F.to_date("ts").alias("day"), F.hour("ts").alias("slot")).agg(F.max("value").alias("value"))
+    return studies.polar(o, 24, 37.5, -120.0, -8.0)
+
+
+QUERIES = {f.__name__: f for f in (fleet_daily, fleet_report, regular_power, stream_daily, stream_sessions, parameter_trends, day_of_year, sensor_choice, sun_map)}
 SQL = {
+    "day_of_year": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+d AS (SELECT *, CAST(extract(doy FROM day) - CASE WHEN extract(doy FROM make_date(CAST(extract(year FROM day) AS INTEGER), 12, 31)) = 366 AND extract(doy FROM day) > 60 THEN 1 ELSE 0 END AS INTEGER) AS doy FROM o WHERE strftime(day, '%m-%d') <> '02-29')
+SELECT o_orderstatus, doy, round(quantile_cont(value, 0.5), 6) AS median, round(avg(value), 6) AS mean FROM d GROUP BY 1, 2""",
     "stream_daily": """WITH e AS (SELECT event_type AS system_id, ts, min(value) AS value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)
 SELECT system_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS energy, max(value) AS top FROM e GROUP BY 1, 2""",
     "stream_sessions": """WITH e AS (SELECT event_type AS system_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS c FROM events),

@@ -18,7 +18,7 @@ from sunloom.kernels import detect
 from sunloom.operators import daily, timeaxis
 from sunloom.operators.stats import shapley
 from sunloom.operators.tables import shift_days
-from sunloom.session import ship
+from sunloom.session import cut_lineage, spread
 
 KEYS = ["system_id"]
 _LEVELS = range(len(detect.SUN_THRESHOLDS))
@@ -29,9 +29,8 @@ DAILY_SCHEMA = (
 )
 
 
-def _shipped(df: DataFrame) -> DataFrame:
-    ship(df.sparkSession)
-    return df
+def _spread(df: DataFrame) -> DataFrame:
+    return spread(df, *KEYS)
 
 
 def observations(df: DataFrame, step_minutes: int, low: float | None = -5.0, high: float | None = None) -> DataFrame:
@@ -79,7 +78,8 @@ def smooth_sun_times(obs: DataFrame, m: int) -> DataFrame:
         t = detect.sun_times(rise, fall)
         return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, "sunrise": t["sunrise"], "sunset": t["sunset"], "noon": t["noon"], "threshold": t["threshold"]})
 
-    return rough_sun_times(obs, m).transform(_shipped).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, sunrise double, sunset double, noon double, threshold double")
+    # Written first, so that the fits are spread by their number and not by the few bytes of their input.
+    return cut_lineage(rough_sun_times(obs, m)).transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, sunrise double, sunset double, noon double, threshold double")
 
 
 def daily_table(obs: DataFrame, sun: DataFrame, m: int) -> DataFrame:
@@ -132,14 +132,16 @@ def analyse(table: DataFrame, m: int, fix_shifts: bool = True, capacity: bool =
             row = {c: [None] for c in names} | {"system_id": [pdf.system_id.iloc[0]], "error": [f"{type(e).__name__}: {e}"[:300]]}
             return pd.DataFrame(row)[names]
 
-    return table.transform(_shipped).groupBy(*KEYS).applyInPandas(guarded, DAILY_SCHEMA)
+    return table.transform(_spread).groupBy(*KEYS).applyInPandas(guarded, DAILY_SCHEMA)
 
 
 def run(df: DataFrame, step_minutes: int = 60, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
     """The daily results of all systems of (system_id, ts, value)."""
     m = 1440 // step_minutes
-    obs = observations(df, step_minutes)
-    return analyse(daily_table(obs, smooth_sun_times(obs, m), m), m, fix_shifts, capacity)
+    # Both are read by many of the aggregates that follow, so they are written once.
+    obs = cut_lineage(observations(df, step_minutes))
+    sun = cut_lineage(smooth_sun_times(obs, m))
+    return analyse(daily_table(obs, sun, m), m, fix_shifts, capacity)
 
 
 def report(results: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def loss_analysis(results: DataFrame, samples: bool = False) -> DataFrame:
         rate = float(f.pop("rate")[0])
         return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, **f, "rate": rate, "rate_low": mc["low"] if mc else None, "rate_high": mc["high"] if mc else None}).astype({"rate_low": float, "rate_high": float})
 
-    return results.filter("error IS NULL AND energy > 0.1").select(*KEYS, "day", "energy", "capacity_label").transform(_shipped).groupBy(*KEYS).applyInPandas(kernel, schema)
+    return results.filter("error IS NULL AND energy > 0.1").select(*KEYS, "day", "energy", "capacity_label").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, schema)
 
 
 def loss_report(components: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def soiling_analysis(results: DataFrame) -> DataFrame:
         f = dc.soiling(np.where(e > 0, e, np.nan) / np.nanquantile(e, 0.98))
         return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, **f})
 
-    return results.filter("error IS NULL").select(*KEYS, "day", "energy").transform(_shipped).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, soiling double, season double, trend double")
+    return results.filter("error IS NULL").select(*KEYS, "day", "energy").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, soiling double, season double, trend double")
 
 
 def location(results: DataFrame, gmt_offset: float) -> DataFrame:
@@ -221,4 +223,4 @@ def clear_sky_quantile(dilated: DataFrame, day_length: int, level: float = 0.9,
         q = dc.smooth_quantiles(signal, [level], day_length, harmonics)[level]
         return pdf[["system_id", "day", "k"]].assign(clear=q[at])
 
-    return dilated.select(*KEYS, "day", "k", "value").transform(_shipped).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, k int, clear double")
+    return dilated.select(*KEYS, "day", "k", "value").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, k int, clear double")

@@ -70,3 +70,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
     sc._sunloom_shipped = True
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by key over as many tasks as the session's shuffles have, however few bytes it holds.
+
+    For kernels that take long for each small group: sized by bytes, all of them would be one task.
+    """
+    ship(df.sparkSession)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
