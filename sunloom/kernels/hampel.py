@@ -21,6 +21,8 @@ SPAN_DAYS, SPAN_MIN = 6, 15
 UP, DOWN = 2.0, 0.1
 #: Parts of the source's peak: margin upwards, least median for a test downwards, the most that a steady night shows, draw at night.
 MARGIN, LIT, NIGHT, DRAW = 0.05, 0.08, 0.03, 0.03
+#: Readings whose windows are in memory at once.
+TOGETHER = 1 << 16
 #: Scaled MADs that a reading must be off; times the peak that no source reaches; shortest run.
 MADS, BEYOND, RUN = 3.0, 8.0, 6
 
@@ -67,8 +69,12 @@ def power_flags(t: np.ndarray, v: np.ndarray) -> np.ndarray:
     # Infinite readings are no guide to the others.
     grid[~np.isfinite(grid)] = np.nan
     views = np.lib.stride_tricks.sliding_window_view(grid, (SPAN_DAYS, 2 * reach + 1))
-    before, after = (views[d + k, s].reshape(n, -1) for k in (0, SPAN_DAYS + 1))
-    (n_b, med_b, mad_b, hi_b), (n_a, med_a, mad_a, hi_a) = _sorted_stats(before, 0.85), _sorted_stats(after, 0.85)
+    # The windows of some readings at a time, so that memory doesn't grow with a dense source.
+    each = [
+        [_sorted_stats(views[d[a : a + TOGETHER] + k, s[a : a + TOGETHER]].reshape(-1, SPAN_DAYS * (2 * reach + 1)), 0.85) for k in (0, SPAN_DAYS + 1)]
+        for a in range(0, n, TOGETHER)
+    ]
+    (n_b, med_b, mad_b, hi_b), (n_a, med_a, mad_a, hi_a) = (tuple(np.concatenate([e[side][i] for e in each]) for i in range(4)) for side in (0, 1))
     few = 2 * (2 * reach + 1)
     use_b, use_a = (n_b > few) | (n_b >= n_a), (n_a > few) | (n_a >= n_b)
     pick = lambda b, a, how: how(np.where(use_b, b, a), np.where(use_a, a, b))

@@ -40,6 +40,15 @@ def test_planted_cases_are_found_and_nothing_else():
         assert got[a : a + 9].all()
 
 
+def test_pieces_change_nothing(monkeypatch):
+    t, v = days(np.random.default_rng(2))
+    v[::53] *= 5
+    t = (t * 60e6).astype(np.int64)
+    whole = hampel.power_flags(t, v)
+    monkeypatch.setattr(hampel, "TOGETHER", 50)
+    assert whole.any() and (hampel.power_flags(t, v) == whole).all()
+
+
 def test_kernels_at_the_edges():
     none = hampel.power_flags(np.zeros(0, np.int64), np.zeros(0))
     assert len(none) == 0 and len(hampel.fit_flags(np.zeros(0, np.int64), np.zeros(0))) == 0
