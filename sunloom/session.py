@@ -30,13 +30,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session, or a local one where none is set (tests)."""
+    """The shared checkpoint folder of the session; in local mode, where none is set (tests), one of this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "sunloom-checkpoint")
     sc.setCheckpointDir(named)
     return named
