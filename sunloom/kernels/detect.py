@@ -10,6 +10,8 @@ from sunloom.kernels import decompositions as dc
 SUN_THRESHOLDS = np.logspace(-5, -1, 21)
 CAPACITY_WEIGHTS, SHIFT_WEIGHTS = np.logspace(-0.5, 2.5, 13), np.logspace(0.5, 3.5, 11)
 CDF_POINTS = 5000
+#: A step lies between two usable days, so with fewer there is nothing to decide.
+LEAST_DAYS = 2
 
 
 def split(ok: np.ndarray, share: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +126,15 @@ def clipping(top: np.ndarray, near_top: np.ndarray, no_errors: np.ndarray) -> di
     return {"days": days, "inverter_clipping": clips, "points": masses if clips else np.zeros(0)}
 
 
-def capacity_steps(top: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Labels of days by level of the log daily maximum: the smallest step weight that improves the fit by 2 % with under five steps, none small."""
+def capacity_steps(top: np.ndarray, use: np.ndarray) -> np.ndarray | None:
+    """Labels of days by level of the log daily maximum: the smallest step weight that improves the fit by 2 % with under five steps, none small.
+
+    None with fewer than ``LEAST_DAYS`` usable days.
+    """
     metric = np.log(np.where(top > 0, top, np.nan))
     use = use & np.isfinite(metric)
-    if use.sum() < 30:
-        return np.zeros(len(top), int)
+    if use.sum() < LEAST_DAYS:
+        return None
     fits, errors, counts, least = [], [], [], []
     start = None
     # From the stiffest on, each solution starts the next.
@@ -143,24 +148,34 @@ def capacity_steps(top: np.ndarray, use: np.ndarray) -> np.ndarray:
         counts.append(len(jumps))
         least.append(float(jumps.min()) if len(jumps) else 0.0)
     fits, errors, counts, least = (x[::-1] for x in (fits, errors, counts, least))
-    fine = (np.array(errors) / max(errors) <= 0.98) & (np.array(counts) < 5) & (np.array(least) >= 0.075)
+    fine = (np.array(errors) / max(max(errors), 1e-300) <= 0.98) & (np.array(counts) < 5) & (np.array(least) >= 0.075)
     steps = fits[int(np.flatnonzero(fine)[0]) if fine.any() else -1]
     bucket = np.round((steps - steps[0]) / 0.05).astype(int)
     order = {b: i for i, b in enumerate(dict.fromkeys(bucket.tolist()))}
     return np.array([order[b] for b in bucket.tolist()])
 
 
-def clock_shifts(noon: np.ndarray, use: np.ndarray, slots: int, to_hours: bool = True, periodic: bool = False, seed: int = 0) -> dict[str, np.ndarray | bool]:
+def clock_shifts(noon: np.ndarray, use: np.ndarray, slots: int, to_hours: bool = True, periodic: bool = False, seed: int = 0) -> dict[str, np.ndarray | bool] | None:
     """Slots by which each day must be rolled, from steps in the solar noon signal.
 
     The weight is the last before the held-out error's outlying rise; the steps found are
-    solved again without a penalty, and rounded.
+    solved again without a penalty, and rounded.  None where it cannot decide: with fewer than
+    ``LEAST_DAYS`` usable days, or if none is found but neither would be one of an hour in the
+    middle (in short series the season takes it up).
     """
-    n = len(noon)
     use = use & np.isfinite(noon)
-    none = {"roll": np.zeros(n), "shifted": False, "season_rms": 0.0}
-    if use.sum() < 20:
-        return none
+    if use.sum() < LEAST_DAYS:
+        return None
+    out = _clock_shifts(noon, use, slots, to_hours, periodic, seed)
+    # The season of a whole year can't take up a lasting step.
+    if not out["roll"].any() and use.sum() < 365:
+        planted = noon + (np.arange(len(noon)) >= np.flatnonzero(use)[use.sum() // 2])
+        if not _clock_shifts(planted, use, slots, to_hours, periodic, seed)["roll"].any():
+            return None
+    return out
+
+
+def _clock_shifts(noon: np.ndarray, use: np.ndarray, slots: int, to_hours: bool, periodic: bool, seed: int) -> dict[str, np.ndarray | bool]:
     train, test = split(use, 0.85, np.random.default_rng(seed))
     error = []
     for w in SHIFT_WEIGHTS:

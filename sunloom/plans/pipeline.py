@@ -25,7 +25,7 @@ _LEVELS = range(len(detect.SUN_THRESHOLDS))
 DAILY_SCHEMA = (
     "system_id string, day date, sunrise double, sunset double, density_score double, density_fit double, linearity_score double, energy double, top double, "
     "cluster int, no_errors boolean, clear_weight double, is_clear boolean, is_cloudy boolean, clipped boolean, capacity_label int, roll int, "
-    "capacity double, threshold double, normal_scores boolean, inverter_clipping boolean, clip_points array<double>, shifted boolean, error string"
+    "capacity double, threshold double, normal_scores boolean, inverter_clipping boolean, clip_points array<double>, shifted boolean, undecided string, error string"
 )
 
 
@@ -108,17 +108,21 @@ def analyse(table: DataFrame, m: int, fix_shifts: bool = True, capacity: bool =
         weight = detect.clear_days(x["bends"], x["energy"], np.nan_to_num(x["density"]))
         clear = (weight >= 1e-3) & (q["density_score"] > 0.9)
         clip = detect.clipping(np.nan_to_num(x["stat1"]), np.nan_to_num(x["stat2"]), q["no_errors"])
-        labels = detect.capacity_steps(x["top"], q["no_errors"]) if capacity and n >= 60 else np.zeros(n, int)
+        labels = detect.capacity_steps(x["top"], q["no_errors"]) if capacity else None
         share = (clear & q["no_errors"]).mean()
         use = (clear & q["no_errors"]) if share >= 0.3 else q["no_errors"]
-        shift = detect.clock_shifts(x["noon"], use, m) if fix_shifts and n >= 60 else {"roll": np.zeros(n), "shifted": False}
+        shift = detect.clock_shifts(x["noon"], use, m) if fix_shifts else None
+        # Without a decision null and the reason, never "no".
+        reasons = [f"capacity: {'too few usable days' if capacity else 'switched off'}"] if labels is None else []
+        if shift is None:
+            reasons.append(f"shift: {'switched off' if not fix_shifts else 'too few usable days' if (use & np.isfinite(x['noon'])).sum() < detect.LEAST_DAYS else 'the season hides a step in so short a series'}")
         out = pd.DataFrame(
             {
                 "system_id": pdf.system_id, "day": pdf.day, "sunrise": x["sunrise"], "sunset": x["sunset"], "density_score": q["density_score"], "density_fit": q["density_fit"],
                 "linearity_score": q["linearity_score"], "energy": x["energy"], "top": x["top"], "cluster": q["cluster"].astype("int32"), "no_errors": q["no_errors"], "clear_weight": weight,
-                "is_clear": clear & q["no_errors"], "is_cloudy": ~clear & q["no_errors"], "clipped": clip["days"], "capacity_label": labels.astype("int32"), "roll": shift["roll"].astype("int32"),
+                "is_clear": clear & q["no_errors"], "is_cloudy": ~clear & q["no_errors"], "clipped": clip["days"], "capacity_label": [None] * n if labels is None else labels.astype("int32"), "roll": [None] * n if shift is None else shift["roll"].astype("int32"),
                 "capacity": x["capacity"], "threshold": x["threshold"], "normal_scores": q["normal"], "inverter_clipping": clip["inverter_clipping"],
-                "clip_points": [clip["points"].tolist()] * n, "shifted": shift["shifted"], "error": None,
+                "clip_points": [clip["points"].tolist()] * n, "shifted": None if shift is None else shift["shifted"], "undecided": "; ".join(reasons) or None, "error": None,
             }
         )
         return out
@@ -156,9 +160,10 @@ def report(results: DataFrame) -> DataFrame:
         F.round(share("is_clear"), 3).alias("clearness_score"),
         F.max("inverter_clipping").alias("inverter_clipping"),
         F.round(share("clipped"), 3).alias("clipped_fraction"),
-        (F.countDistinct("capacity_label") > 1).alias("capacity_change"),
+        F.when(F.count("capacity_label") > 0, F.countDistinct("capacity_label") > 1).alias("capacity_change"),
         (~F.max("normal_scores")).alias("data_quality_warning"),
         F.max("shifted").alias("time_shift_correction"),
+        F.max("undecided").alias("undecided"),
         F.max("error").alias("error"),
     )
 

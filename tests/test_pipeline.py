@@ -36,6 +36,22 @@ def test_report_finds_the_planted_step(fleet):
     assert r["dark"].error is not None or r["dark"].quality_score in (None, 0.0, r["dark"].quality_score)
 
 
+def test_short_systems_get_steps_or_no_answer(spark):
+    day = [(d, datetime(2021, 5, 1) + timedelta(days=d)) for d in range(24)]
+    rows = [("cut", *x) for x in day] + [("even", *x) for x in day] + [("one", *day[0])]
+    cols = "0.5D AS density, 50.0 * f AS energy, 0.1D AS bends, 0.01D AS linearity, 0.9D AS stat1, 0.05D AS stat2, 10.0D * f AS top, 6.0D AS sunrise, 18.0D AS sunset, 12.0D AS noon, 10.0D AS capacity, 1e-3D AS threshold"
+    table = spark.createDataFrame(rows, "system_id string, d int, t timestamp_ntz").selectExpr("*", "IF(system_id = 'cut' AND d >= 12, 0.5D, 1.0D) * (1 + 0.01D * sin(d)) AS f")
+    results = pipeline.analyse(table.selectExpr("system_id", "CAST(t AS DATE) AS day", *cols.split(", ")), 24).cache()
+    assert results.filter("error IS NOT NULL").count() == 0
+    r = {x.system_id: x for x in pipeline.report(results).collect()}
+    assert r["cut"].capacity_change is True and r["even"].capacity_change is False and r["one"].capacity_change is None
+    at = results.filter("system_id = 'cut'").groupBy("capacity_label").agg(F.min("day").alias("d")).orderBy("d").collect()
+    assert [x.d.day for x in at] == [1, 13]
+    # A shift of an hour can't be told from the season here, so the answer is not "no".
+    assert all(x.time_shift_correction is None and "shift: " in x.undecided for x in r.values())
+    assert "capacity: too few" in r["one"].undecided
+
+
 def test_losses_add_up(fleet):
     good = fleet[1].filter("system_id = 'plain'")
     c = pipeline.loss_analysis(good)
