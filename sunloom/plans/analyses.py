@@ -16,9 +16,16 @@ def _readings(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(F.col("sensor").alias("system_id"), "ts", F.col("meas_val_f").alias("value"))
 
 
+def _steps(spark: SparkSession, folder: str) -> DataFrame:
+    """(system_id, step_minutes) of each sensor, over all its sites."""
+    m = table(spark, folder, "measurements").withColumn("site", F.lit(None).cast("string"))
+    grids = regular.source_grids(regular.shard_summaries(regular.shards(m)), table(spark, folder, "system_metadata"))
+    return grids.select(F.col("sensor").alias("system_id"), F.col("step").alias("step_minutes"))
+
+
 def fleet_daily(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily scores and flags of every source, on an hourly grid."""
-    return pipeline.run(_readings(spark, folder), 60)
+    """Daily scores and flags of every source, on the grid of its own step; ``roll`` counts slots of that."""
+    return pipeline.run_by_step(_readings(spark, folder), _steps(spark, folder))
 
 
 def fleet_report(spark: SparkSession, folder: str) -> DataFrame:

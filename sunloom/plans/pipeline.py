@@ -7,6 +7,8 @@ dense the readings are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -148,6 +150,18 @@ def run(df: DataFrame, step_minutes: int = 60, fix_shifts: bool = True, capacity
     return analyse(daily_table(obs, sun, m), m, fix_shifts, capacity)
 
 
+def run_by_step(df: DataFrame, steps: DataFrame, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
+    """``run`` for each system at its own step, with ``step_minutes``; steps is (system_id, step_minutes).
+
+    Only the few distinct steps reach the driver; systems without a step are left out.
+    """
+    # Read once for each step.
+    both = cut_lineage(df.join(steps, KEYS))
+    found = sorted(r[0] for r in both.select("step_minutes").distinct().collect()) or [60]
+    parts = [run(both.filter(F.col("step_minutes") == k).drop("step_minutes"), k, fix_shifts, capacity).withColumn("step_minutes", F.lit(k)) for k in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def report(results: DataFrame) -> DataFrame:
     """One row a system: length in years, capacity, scores and detections; the error of one that failed."""
     good = F.col("error").isNull()

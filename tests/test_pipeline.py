@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunloom.operators import rebin, tables
-from sunloom.plans import pipeline
+from sunloom.plans import analyses, pipeline
 from sunloom.sources import readers
 from sunloom.streaming.daily import daily_stream
 
@@ -52,6 +52,24 @@ def test_short_systems_get_steps_or_no_answer(spark):
     assert "capacity: too few" in r["one"].undecided
 
 
+def test_fleet_keeps_each_sources_step(spark, tmp_path):
+    rows = []
+    for system, step, peak in (("fine", 15, 12.25), ("hourly", 60, 12.0)):
+        for d in range(8):
+            for h in np.arange(0, 24, step / 60):
+                v = 20.0 if h == peak else float(10 * max(np.cos((h - 12) / (5 + 0.1 * d) * np.pi / 2), 0)) if abs(h - 12) < 5 + 0.1 * d else 0.0
+                rows.append(("x", system, datetime(2021, 3, 1) + timedelta(days=d, hours=float(h)), v))
+    spark.createDataFrame(rows, "site string, sensor string, ts timestamp_ntz, meas_val_f double").write.parquet(str(tmp_path / "measurements.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/system_metadata.parquet").limit(0).write.parquet(str(tmp_path / "system_metadata.parquet"))
+    got = {r.system_id: r for r in analyses.fleet_daily(spark, str(tmp_path)).groupBy("system_id").agg(F.min("top").alias("top"), F.max("step_minutes").alias("step"), F.count("error").alias("e"), F.avg("energy").alias("energy")).collect()}
+    want = {s: sum(r[3] for r in rows if r[1] == s) * k / 8 for s, k in (("fine", 0.25), ("hourly", 1.0))}
+    # The peak of the fine source lies between the hours.
+    for system, step in (("fine", 15), ("hourly", 60)):
+        assert got[system].step == step and got[system].e == 0
+        assert got[system].energy == pytest.approx(want[system], rel=0.02)
+    assert got["fine"].top == pytest.approx(got["hourly"].top)
+
+
 def test_losses_add_up(fleet):
     good = fleet[1].filter("system_id = 'plain'")
     c = pipeline.loss_analysis(good)
