@@ -8,9 +8,10 @@ by length, the same part of each length's count is taken, and bounded-knapsack d
 programming over lengths (a bit set of reachable sums) fits the remaining budget to the
 token.  Which documents of a length are taken is decided by a seeded hash.
 
-Only counts by length reach the driver: at most ``LONG`` lengths for each source of
-the targets table.  Longer documents are taken by the seeded hash alone, in the same
-part, and the sum that they reach is deducted before the fit.
+Only counts by length reach the driver: at most ``LONG`` lengths under ``LONG`` tokens
+and as many longer ones for each source of the targets table.  In a source with more
+distinct long lengths than that, the long ones are rounded up to ``BITS`` leading bits
+for the choice, so the budget is never exceeded and missed by under 1 / 2 ** (BITS - 1) of it.
 
 Defined results
 * documents without a source, of sources without a target or with a target share or
@@ -35,8 +36,12 @@ from pyspark.sql import functions as F
 from sunloom.llm import bpe
 from sunloom.session import cut_lineage
 
-#: Lengths from this on are too many to be counted one by one.
+#: Lengths from this on are counted one by one only where there are at most as many of them.
 LONG = 1 << 15
+#: Leading bits of long lengths that are too many.
+BITS = 12
+#: Remainders from this on are fitted over so many exact sums at most, spread over the range.
+SUMS = 1 << 16
 #: Buckets of the seeded hash within a length, so that no length is sorted as a whole.
 BUCKETS = 1024
 #: Lengths that the knapsack may choose from, and times the longest of them that it fits at most.
@@ -45,7 +50,7 @@ ITEMS, REACH = 64, 8
 
 @dataclass
 class Plan:
-    """What to take of a source: uses of every document, part of long ones, one more use of so many of each length."""
+    """What to take of a source: uses of every document, the part of one more use, one more use of so many of each length."""
 
     source: str
     share: float
@@ -83,6 +88,10 @@ def fit_sum(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int
     # Many short lengths make many sums; take the choice across the range.
     if len(free) > ITEMS:
         free = np.unique(np.r_[free[: ITEMS // 2], free[np.linspace(0, len(free) - 1, ITEMS // 2).astype(int)]])
+    if rest >= SUMS * 16:
+        for i, n in _far_sums(lengths, have - take, free, rest):
+            take[i] += n
+        return {int(k): int(n) for k, n in zip(lengths, take) if n}
     steps: list[tuple[int, int, int]] = []
     reachable, mask = 1, (1 << (rest + 1)) - 1
     for i in free:
@@ -102,13 +111,47 @@ def fit_sum(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int
     return {int(k): int(n) for k, n in zip(lengths, take) if n}
 
 
-def plan_mix(histogram: dict[str, dict[int, int]], long_tokens: dict[str, tuple[int, int]], targets: list[tuple[str, float, int]], seed: int = 0) -> list[Plan]:
-    """A plan for each target source; the counts of long documents enter as (documents, tokens)."""
+def _far_sums(lengths: np.ndarray, have: np.ndarray, free: np.ndarray, rest: int) -> list[tuple[int, int]]:
+    """(index, number) of the lengths whose sum is nearest to a large ``rest`` from below, over at most ``SUMS`` sums."""
+    sums = np.zeros(1, np.int64)
+    steps = []
+    for i in free:
+        n, power = int(min(have[i], rest // lengths[i])), 1
+        while n > 0 and sums[-1] < rest:
+            k = min(power, n)
+            steps.append((int(i), k, sums))
+            sums = np.union1d(sums, sums + k * lengths[i])
+            sums = sums[sums <= rest]
+            if len(sums) > SUMS:
+                # The largest of each cell, all of them exact.
+                cell = sums // (rest // SUMS + 1)
+                sums = sums[np.r_[cell[1:] != cell[:-1], True]]
+            n -= k
+            power *= 2
+    at, picks = int(sums[-1]), []
+    for i, k, before in reversed(steps):
+        j = int(np.searchsorted(before, at))
+        if j == len(before) or before[j] != at:
+            at -= k * int(lengths[i])
+            picks.append((i, k))
+    return picks
+
+
+def fill(counts: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
+    """``fit_sum`` repeated with the documents that are left, as long as it finds more."""
+    taken: dict[int, int] = {}
+    while more := fit_sum({k: n - taken.get(k, 0) for k, n in counts.items()}, budget, seed):
+        for k, n in more.items():
+            taken[k] = taken.get(k, 0) + n
+            budget -= k * n
+    return taken
+
+
+def plan_mix(histogram: dict[str, dict[int, int]], tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> list[Plan]:
+    """A plan for each target source, from its counts by length and all its tokens."""
     plans = []
     for source, share, repeats in targets:
-        counts = histogram.get(source, {})
-        n_long, t_long = long_tokens.get(source, (0, 0))
-        plans.append(Plan(source, share, repeats, sum(k * n for k, n in counts.items()) + t_long, sum(counts.values()) + n_long))
+        plans.append(Plan(source, share, repeats, tokens.get(source, 0), sum(histogram.get(source, {}).values())))
     able = [p for p in plans if p.tokens > 0]
     if not able:
         return plans
@@ -139,35 +182,34 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, vocabulary: st
     sized = bpe.count_tokens(listed, ["doc_id", "source"], vocabulary=vocabulary, folder=folder).filter("n_tokens > 0")
     # Sizes are used several times; the encoding is done once.
     sized = cut_lineage(sized.withColumn("h", F.xxhash64("doc_id", "source", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")))
-    short = sized.filter(F.col("n_tokens") < LONG)
+    long_lengths = sized.filter(F.col("n_tokens") >= LONG).groupBy("source").agg(F.countDistinct("n_tokens").alias("n"))
+    many = [r["source"] for r in long_lengths.collect() if r["n"] > LONG]
+    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin("n_tokens")) - BITS, F.lit(0)))
+    rounded = (F.ceil(F.col("n_tokens") / unit) * unit).cast("long")
+    sized = sized.withColumn("size", F.when((F.col("n_tokens") >= LONG) & F.col("source").isin(many), rounded).otherwise(F.col("n_tokens")).cast("long"))
     histogram: dict[str, dict[int, int]] = {}
-    for r in short.groupBy("source", "n_tokens").count().collect():
+    tokens: dict[str, int] = {}
+    for r in sized.groupBy("source", "size").agg(F.count("*"), F.sum("n_tokens")).collect():
         histogram.setdefault(r[0], {})[int(r[1])] = int(r[2])
-    long_docs = sized.filter(F.col("n_tokens") >= LONG)
-    sums = {r[0]: (int(r[1]), int(r[2])) for r in long_docs.groupBy("source").agg(F.count("*"), F.sum("n_tokens")).collect()}
-    plans = plan_mix(histogram, sums, wanted, seed)
-    plan_rows = [(p.source, p.whole, p.part) for p in plans]
-    shown = F.broadcast(spark.createDataFrame(plan_rows, "source string, whole int, part double")) if plan_rows else spark.createDataFrame([], "source string, whole int, part double")
-    # Long documents: one more use below the part's threshold on the hash.
-    low = F.pmod(F.floor(F.col("h") / BUCKETS), F.lit(1_000_003)) / 1_000_003.0
-    long_more = long_docs.join(shown, "source").withColumn("more", (low < F.col("part")).cast("int"))
-    reached = {r[0]: int(r[1] or 0) for r in long_more.groupBy("source").agg(F.sum(F.col("more") * F.col("n_tokens"))).collect()}
+        tokens[r[0]] = tokens.get(r[0], 0) + int(r[3])
+    plans = plan_mix(histogram, tokens, wanted)
+    plan_rows = [(p.source, p.whole) for p in plans]
+    shown = F.broadcast(spark.createDataFrame(plan_rows, "source string, whole int")) if plan_rows else spark.createDataFrame([], "source string, whole int")
     for i, p in enumerate(plans):
         if p.part > 0:
-            p.more = fit_sum(histogram.get(p.source, {}), p.budget - p.whole * p.tokens - reached.get(p.source, 0), seed + i)
+            p.more = fill(histogram.get(p.source, {}), p.budget - p.whole * p.tokens, seed + i)
     picks = [(p.source, k, n) for p in plans for k, n in p.more.items()]
-    picked = spark.createDataFrame(picks, "source string, n_tokens long, want long") if picks else spark.createDataFrame([], "source string, n_tokens long, want long")
-    # Bounded as the histogram: at most LONG lengths for each source of the targets.
-    short_more = short.join(F.broadcast(picked), ["source", "n_tokens"], "left")
-    by_bucket = short_more.filter("want IS NOT NULL").groupBy("source", "n_tokens", "want", "bucket").count()
-    before = Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_bucket.select("source", "n_tokens", "bucket", F.greatest(F.lit(0), F.least("count", F.col("want") - F.coalesce(F.sum("count").over(before), F.lit(0)))).alias("from_bucket"))
-    in_bucket = Window.partitionBy("source", "n_tokens", "bucket").orderBy("h", "doc_id")
-    ranked = short.join(rest, ["source", "n_tokens", "bucket"], "left").withColumn("r", F.row_number().over(in_bucket))
+    picked = spark.createDataFrame(picks, "source string, size long, want long") if picks else spark.createDataFrame([], "source string, size long, want long")
+    # Bounded as the histogram.
+    more = sized.join(F.broadcast(picked), ["source", "size"], "left")
+    by_bucket = more.filter("want IS NOT NULL").groupBy("source", "size", "want", "bucket").count()
+    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rest = by_bucket.select("source", "size", "bucket", F.greatest(F.lit(0), F.least("count", F.col("want") - F.coalesce(F.sum("count").over(before), F.lit(0)))).alias("from_bucket"))
+    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")
+    ranked = sized.join(rest, ["source", "size", "bucket"], "left").withColumn("r", F.row_number().over(in_bucket))
     chosen = ranked.select("doc_id", "source", "n_tokens", (F.col("r") <= F.coalesce("from_bucket", F.lit(0))).cast("int").alias("more"))
     return (
-        chosen.unionByName(long_more.select("doc_id", "source", "n_tokens", "more"))
-        .join(shown, "source")
+        chosen.join(shown, "source")
         .select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("more")).cast("int").alias("uses"))
         .filter("uses > 0")
     )

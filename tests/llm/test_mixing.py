@@ -62,6 +62,23 @@ def test_whole_uses_and_long_documents(spark, monkeypatch):
     assert rep["b"].actual_share == pytest.approx(0.5, abs=0.02)
 
 
+def test_few_long_documents_meet_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LONG", 40)
+    # Half of a's tokens are wanted: the one that reaches it is 300 with the two short ones, or 200 and 100 of them.
+    docs = [(i, " word" * n, "a") for i, n in enumerate((300, 200, 90, 10))] + [(9, " word" * 300, "b")]
+    d, t = frames(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
+    for seed in range(4):
+        m = mixing.mix(d, t, seed).collect()
+        assert sum(r.n_tokens * r.uses for r in m if r.source == "a") == sum(r.n_tokens for r in m if r.source == "b")
+    monkeypatch.setattr(mixing, "LONG", 2)
+    rounded = mixing.mix(d, t).collect()
+    assert sum(r.n_tokens * r.uses for r in rounded if r.source == "a") == 300
+    assert mixing.fill({3_000_000: 1, 40_000_001: 2, 7: 5}, 43_000_015) == {3_000_000: 1, 40_000_001: 1, 7: 2}
+    big = {1_000_003 + 977 * i: 1 for i in range(300)}
+    got = mixing.fill(big, 60_000_000)
+    assert all(n <= big[k] for k, n in got.items()) and 0 <= 60_000_000 - sum(k * n for k, n in got.items()) < 1000
+
+
 def test_repeated_rows_ties_and_empty_tables(spark):
     d, t = frames(spark, [(1, " same", "a")] * 6 + [(2, " other", "b")] * 2, [("a", 0.5, 1), ("b", 0.5, 2), ("b", 0.0, 9)])
     rows = mixing.mix(d, t).collect()
