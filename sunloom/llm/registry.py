@@ -30,8 +30,13 @@ def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
     return langid.main_languages(table(spark, folder, "documents"))
 
 
+def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's main language (line 0) and its lines in another one, with their confidence."""
+    return langid.label_parts(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_languages, p8_parts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sunloom.llm import langid
+from sunloom.llm import langid, registry
 
 LINES = {
     "en": ["The measurements were repeated several times, and the threshold value remained stable.", "It has been found that the valve ages faster if the cover is not protected from moisture.", "The sensor can also be used together with the cable if the housing is missing."],
@@ -93,3 +93,11 @@ def test_fit_takes_a_bounded_sample(spark):
     sample = langid.sample_rows(df, rows=5)
     assert 0 < len(sample) <= 50 and sorted(sample) == sorted(langid.sample_rows(df.repartition(6), rows=5))
     assert langid.fit_model(df.limit(0)).words
+
+
+def test_a_query_gives_the_confidence_of_all_parts(spark, tmp_path):
+    rows = [(i, document(k) * 3, k.upper()) for i, k in enumerate(list(LINES) * 10)] + [(9000, document("nl", [LINES["en"][0]]), "nl")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["p8_parts"](spark, str(tmp_path)).filter("doc_id = 9000").collect()
+    assert {r.line_no > 0: r.lang for r in got} == {False: "nl", True: "en"}
+    assert all(0 < r.confidence <= 1 for r in got)
