@@ -114,7 +114,7 @@ def headers(raw: DataFrame) -> DataFrame:
 def parsed_lines(raw: DataFrame) -> DataFrame:
     """Records after the header with ``rid``, ``delimiter``, ``columns``, ``quoting_ok`` and ``cells``."""
     raw = raw.select("file_id", F.col("line_no").cast("int").alias("line_no"), F.col("line").cast("string").alias("line"))
-    body = raw.filter(F.col("line_no") != 1).select(
+    body = raw.filter(~F.col("line_no").eqNullSafe(1)).select(
         "file_id", "line_no", F.regexp_replace(F.coalesce("line", F.lit("")), "\r$", "").alias("text")
     )
     joined = body.join(headers(raw), "file_id", "left").withColumns(
@@ -128,8 +128,8 @@ def rule_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(RULES), "rule_kind string, rule_delimiter string, rank int, pattern string, nullable boolean")
 
 
-def cell_errors(parsed: DataFrame) -> DataFrame:
-    """(file_id, line_no, column, value, rank) of each cell that violates its rule.
+def cell_errors(parsed: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
+    """(keys, column, value, rank) of each cell that violates its rule.
 
     A record with broken quoting or a wrong number of fields counts as one cell of
     that kind, so one pass over the records finds all errors.
@@ -142,12 +142,11 @@ def cell_errors(parsed: DataFrame) -> DataFrame:
         .otherwise(F.zip_with("columns", "cells", lambda n, v: cell(n, v)))
     )
     cells = parsed.select(
-        "file_id",
-        "line_no",
+        *keys,
         "delimiter",
         (F.col("quoting_ok") & (F.size("cells") == F.size("columns"))).alias("parsed"),
         F.explode(pairs).alias("cell"),
-    ).select("file_id", "line_no", "delimiter", "parsed", "cell.name", "cell.value")
+    ).select(*keys, "delimiter", "parsed", "cell.name", "cell.value")
     kind = F.when(~F.col("parsed") | F.col("name").isin("ts", "status", "note"), F.col("name")).otherwise(F.lit("number"))
     value = F.btrim("value", F.lit(" \t"))
     day = F.when(
@@ -166,7 +165,7 @@ def cell_errors(parsed: DataFrame) -> DataFrame:
             (F.col("kind") == F.col("rule_kind")) & (F.col("rule_delimiter").isNull() | (F.col("rule_delimiter") == F.col("delimiter"))),
         )
         .filter(~valid)
-        .select("file_id", "line_no", F.col("name").alias("column"), "value", "rank")
+        .select(*keys, F.col("name").alias("column"), "value", "rank")
     )
 
 
@@ -177,8 +176,14 @@ def bad_lines(raw: DataFrame) -> DataFrame:
 
 
 def clean_lines(raw: DataFrame) -> DataFrame:
-    """The valid records as (file_id, line_no, values map<column, text>), nulls for the null texts."""
+    """The valid records as (file_id, line_no, values map<column, text>), nulls for the null texts.
+
+    Records without a line number are told apart by their text; those without a file have no header and are bad.
+    """
     parsed = parsed_lines(raw)
-    good = parsed.join(bad_lines(raw), ["file_id", "line_no"], "left_anti")
+    keys = ("file_id", "line_no", "text")
+    bad = cell_errors(parsed, keys).select(*[F.col(k).alias(f"bad_{k}") for k in keys]).distinct()
+    same = F.col("file_id").eqNullSafe(F.col("bad_file_id")) & F.col("line_no").eqNullSafe(F.col("bad_line_no"))
+    good = parsed.join(bad, same & (F.col("line_no").isNotNull() | (F.col("text") == F.col("bad_text"))), "left_anti")
     text = lambda v: F.when(~F.btrim(v).isin(*NULL_TEXTS), F.btrim(v))
     return good.select("file_id", "line_no", F.map_from_arrays("columns", F.transform("cells", text)).alias("values"))

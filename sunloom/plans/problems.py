@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sunloom.operators import clocks, nested, regular, rowcheck, spikes
 from sunloom.session import table
@@ -12,6 +15,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.found(table(spark, folder, "site_json"))
 
 
+def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat tables of all entities with their attributes under one another, by ``entity``."""
+    flat = nested.flatten_sites(table(spark, folder, "site_json"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn("entity", F.lit(k)) for k, t in flat.items()])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.found(table(spark, folder, "measurements"), table(spark, folder, "pvpro_results"))
 
@@ -24,11 +33,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return rowcheck.bad_lines(table(spark, folder, "raw_lines"))
 
 
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return rowcheck.clean_lines(table(spark, folder, "raw_lines"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.found(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p5_found)}
 
 #: Step of each source as the nearest to the middle distance of its readings within a day, then all grid points without a reading.
 _P3 = """WITH raw AS (SELECT site, sensor, ts, CAST(ts AS DATE) AS day, CAST(epoch_ms(ts) - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS BIGINT) AS ms,

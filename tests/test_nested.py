@@ -3,6 +3,7 @@ import json
 import pytest
 
 from sunloom.operators import nested
+from sunloom.plans import problems
 
 SCHEMA = "json_id long, file_name string, site string, body string, pre int, entity string"
 FULL = {
@@ -81,3 +82,10 @@ def test_flat_tables_and_empty_table(spark):
 def test_ids(value, key):
     body = json.dumps({"Inverters": [{"name": "Inverter 1", "strings": [{"string_id": value}]}]})
     assert [n[5] for n in nested.label_body(body) if n[0] == "string"] == [key]
+
+
+def test_a_query_gives_the_attributes_of_all_nodes(spark, tmp_path):
+    body = '{"Site": {"location": "x", "longitude": 1.5}, "Inverters": {"i": {"inverter_id": "7"}}}'
+    spark.createDataFrame([(1, body)], "json_id long, body string").write.parquet(str(tmp_path / "site_json.parquet"))
+    got = {r.entity: r for r in problems.QUERIES["p1_tables"](spark, str(tmp_path)).collect()}
+    assert (got["site"].longitude, got["site"].location, got["inverter"].inverter_id) == (1.5, "x", "7")

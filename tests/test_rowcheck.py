@@ -95,3 +95,10 @@ def test_quoting_as_a_state_machine_tells(spark):
     df = spark.createDataFrame([(x, ",") for x in lines], "text string, delimiter string")
     for r in rowcheck.parse_cells(df).select("text", "quoting_ok").collect():
         assert r.quoting_ok == well(r.text), r.text
+
+
+def test_clean_rows_without_file_or_number(spark):
+    lines = [("f", 1, "ts,a"), ("f", None, "2022-01-01 00:00,1"), ("f", None, "2022-01-01 00:00,x"), ("f", 2, "2022-01-01 00:00,2"), (None, 1, "ts,a"), (None, 2, "2022-01-01 00:00,3")]
+    df = spark.createDataFrame([(*r, "", 0) for r in lines], RAW)
+    assert sorted((str(r.line_no), r["values"]["a"]) for r in rowcheck.clean_lines(df).collect()) == [("2", "2"), ("None", "1")]
+    assert {(r.file_id, r.line_no, r.reason) for r in rowcheck.bad_lines(df).collect()} == {("f", None, "value"), (None, 2, "columns")}
