@@ -19,7 +19,9 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.report(p7_mix(spark, folder), table(spark, folder, "mix_targets"))
+    targets = table(spark, folder, "mix_targets")
+    mixed, plans = mixing.mix_with_plans(table(spark, folder, "documents"), targets)
+    return mixing.report(mixed, targets, plans)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
