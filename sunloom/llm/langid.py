@@ -4,11 +4,13 @@ Script ranges narrow the candidates of each word (a letter of Kana, Han or Cyril
 leaves one or two); a model of words and letter groups, fitted on a bounded sample of
 labelled rows, scores the others.  Viterbi over the per-word scores with a penalty
 for each change of language labels spans; a change at a line break costs less.  The
-documents of a batch are decoded together, one step for all of them at a time.
+documents of a batch are decoded together, one step for all of them at a time.  The
+confidence of a document or line is the posterior probability of its language by the
+forward-backward sums of the same model, the mean over its letters.
 
 Defined results
 * null and empty texts and those without running text have no language: no rows from
-  ``found``, one row with null from ``main_languages``;
+  ``found`` and ``label_parts``, one row with null from ``main_languages``;
 * a document's main language is that of most of its letters; equal shares go to the
   language that comes first in ``LANGUAGES``;
 * lines are parts between line feeds, empty ones counted; titles, headings, formulas,
@@ -52,8 +54,10 @@ CHANGE, CHANGE_AT_BREAK, LEAST = 9.0, 4.0, -7.0
 LEAST_LINE = 20
 #: Letters that a letter of Kana or Han counts as, when languages' parts of a text are compared.
 CLOSE_WEIGHT = 2
-#: Tokens (letters x languages) decoded together at most, and words that a task remembers.
-TOGETHER, REMEMBERED = 1 << 18, 400_000
+#: Tokens decoded together at most, and words that a task remembers.
+TOGETHER, REMEMBERED = 1 << 19, 400_000
+#: Tokens of a piece whose posteriors are computed together, and of the margins in which the state settles.
+PIECE, SETTLE = 2048, 128
 
 _TOKEN = re.compile("\n|[^\\W\\d_぀-ヿ㐀-鿿ｦ-ﾟ]+|[぀-ヿｦ-ﾟ]|[㐀-鿿]")
 _CLOSE, _LETTERS = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]"), re.compile(r"[^\W\d_]+")
@@ -104,7 +108,7 @@ class Model:
                 for g in _groups(w):
                     groups[g] += weight
         sums = np.maximum(sum(groups.values(), np.zeros(len(LANGUAGES), np.float64)), 1)
-        shares = {g: np.log((n + 0.05) / (sums + 50)).astype(np.float32) for g, n in groups.items() if n.sum() > 1}
+        shares = {g: np.log((n + 0.05) / (sums + 50)).astype(np.float32) for g, n in groups.items()}
         return cls(dict(words), shares, totals)
 
     def score(self, token: str) -> np.ndarray:
@@ -116,7 +120,7 @@ class Model:
             return out
         prior = np.full(len(may), 1 / len(may))
         if may[0] < LATIN:
-            rows = [self.groups[g] for g in _groups(token[:40]) if g in self.groups]
+            rows = [self.groups[g] for g in _groups(token) if g in self.groups]
             if rows:
                 s = np.sum(rows, axis=0)[may] * 0.6
                 prior = np.exp(s - s.max())
@@ -162,7 +166,7 @@ def fit_on(texts: list[str], labels: list[str], passes: int = 2) -> Model:
             elif word := bare(token):
                 at.append(word)
     # Where a script leaves one language, the label doesn't matter.
-    model = Model.fit([(w, l) for w, l in lines if any(l in _script(t) for t in w[:8])])
+    model = Model.fit([(w, l) for w, l in lines if any(l in _script(t) for t in w)])
     for _ in range(passes):
         known: dict[str, np.ndarray] = {}
         anew = []
@@ -278,11 +282,7 @@ class Labeller:
 
     def _decode(self, part: list[np.ndarray], steps: int) -> list[np.ndarray]:
         n, k = len(part), len(LANGUAGES)
-        sizes = np.array([len(p) for p in part])
-        grid = np.zeros((steps, n), np.int32)
-        for j, p in enumerate(part):
-            grid[: len(p), j] = p
-        running = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts longer than t, as they come longest first
+        grid, running = _columns(part, steps)
         best = np.zeros((n, k), np.float32)
         came = np.zeros((steps, n), np.int8)
         changed = np.zeros((steps, n, k), bool)
@@ -304,32 +304,81 @@ class Labeller:
             state[:m] = np.where(changed[t, rows[:m], state[:m]], came[t, :m], state[:m])
         return [labels[: len(p), j] for j, p in enumerate(part)]
 
-    def label(self, texts: list[str | None], confidence: bool = True) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-        """For each text with running text: (its place, [(line_no, language, confidence)]); line 0 is the whole text, the rest are lines in other languages."""
+    def posterior(self, texts: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability of each word's label given all words, by forward and backward sums over pieces of all texts at a time."""
+        out = [np.ones(len(t), np.float32) for t in texts]
+        pieces = [(i, a, max(a - SETTLE, 0), min(a + PIECE + SETTLE, len(t))) for i, t in enumerate(texts) for a in range(0, len(t), PIECE)]
+        pieces.sort(key=lambda p: p[2] - p[3])
+        a = 0
+        while a < len(pieces):
+            steps = pieces[a][3] - pieces[a][2]
+            b = min(len(pieces), a + max(1, TOGETHER // steps))
+            part = [texts[i][lo:hi] for i, _, lo, hi in pieces[a:b]]
+            grid, running = _columns(part, steps)
+            emit = np.exp(self.scores)[grid]
+            n, k = emit.shape[1:]
+            change = np.where(grid == 0, np.float32(np.exp(-CHANGE_AT_BREAK)), np.float32(np.exp(-CHANGE)))[:, :, None]
+            forward = np.empty((steps, n, k), np.float32)
+            state = np.full((n, k), 1.0 / k, np.float32)
+            for t in range(steps):
+                m = running[t]
+                if t:
+                    state = state[:m] * (1 - change[t - 1, :m]) + change[t - 1, :m]
+                state = state[:m] * emit[t, :m]
+                state /= state.sum(axis=1, keepdims=True)
+                forward[t, :m] = state
+            back = np.ones((n, k), np.float32)
+            for t in range(steps - 1, -1, -1):
+                m = running[t]
+                both = forward[t, :m] * back[:m]
+                forward[t, :m] = both / both.sum(axis=1, keepdims=True)
+                if t:
+                    ahead = back[:m] * emit[t, :m]
+                    ahead /= ahead.sum(axis=1, keepdims=True)
+                    back[:m] = ahead * (1 - change[t - 1, :m]) + change[t - 1, :m]
+            for j, (i, at, lo, _) in enumerate(pieces[a:b]):
+                end = min(at + PIECE, len(texts[i]))
+                out[i][at:end] = forward[np.arange(at - lo, end - lo), j, labels[i][at:end]]
+            a = b
+        return out
+
+    def label(self, texts: list[str | None], confidence: bool = True, every: bool = False) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """For each text with running text: (its place, [(line_no, language, confidence)]); line 0 is the whole text, the rest are lines in other languages.
+
+        With ``every`` the other texts too, with no rows.
+        """
         if len(self.words) > REMEMBERED:
             self._forget()
         numbers = [self.numbers(t or "") for t in texts]
         self.learn()
-        for i, (tokens, labels) in enumerate(zip(numbers, self.decode(numbers))):
-            if len(tokens) == 0:
-                continue
-            size = self.sizes[tokens]
-            line = np.cumsum(tokens == 0)
-            by_line = np.bincount(line * len(LANGUAGES) + labels, weights=size, minlength=(line[-1] + 1) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
-            own = by_line.argmax(axis=1)
-            main = int(by_line.sum(axis=0).argmax())
-            kept = None
-            odd = np.flatnonzero((own != main) & (by_line.sum(axis=1) > 0))
-            if len(odd):
-                kept = texts[i].split("\n")
-            if not (is_running_text(texts[i]) if kept is None else any(map(is_running, kept))):
-                continue
-            score = self.scores[tokens] if confidence else None
-            rows = [(0, main, _confidence(score, main) if confidence else 0.0)]
-            for j in odd:
-                if is_running(kept[j]):
-                    rows.append((int(j) + 1, int(own[j]), _confidence(score[line == j], int(own[j])) if confidence else 0.0))
-            yield i, rows
+        decoded = self.decode(numbers)
+        sure = self.posterior(numbers, decoded) if confidence else None
+        for i, (tokens, labels) in enumerate(zip(numbers, decoded)):
+            rows = self._parts(texts[i], tokens, labels, sure[i] if confidence else None) if len(tokens) else []
+            if rows or every:
+                yield i, rows
+
+    def _parts(self, text: str, tokens: np.ndarray, labels: np.ndarray, sure: np.ndarray | None) -> list[tuple[int, int, float]]:
+        size = self.sizes[tokens]
+        line = np.cumsum(tokens == 0)
+        by_line = np.bincount(line * len(LANGUAGES) + labels, weights=size, minlength=(line[-1] + 1) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
+        own = by_line.argmax(axis=1)
+        main = int(by_line.sum(axis=0).argmax())
+        odd = np.flatnonzero((own != main) & (by_line.sum(axis=1) > 0))
+        kept = text.split("\n") if len(odd) else None
+        if not (is_running_text(text) if kept is None else any(map(is_running, kept))):
+            return []
+        rows = [(0, main, _confidence(sure, size, labels == main))]
+        return rows + [(int(j) + 1, int(own[j]), _confidence(sure, size, (line == j) & (labels == own[j]))) for j in odd if is_running(kept[j])]
+
+
+def _columns(part: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps x texts) numbers of texts that come longest first, and how many of them are longer than each step."""
+    sizes = np.array([len(p) for p in part])
+    grid = np.zeros((steps, len(part)), np.int32)
+    for j, p in enumerate(part):
+        grid[: len(p), j] = p
+    return grid, np.searchsorted(-sizes, -np.arange(steps), "left")
 
 
 def is_running_text(text: str) -> bool:
@@ -344,11 +393,12 @@ def is_running_text(text: str) -> bool:
     return False
 
 
-def _confidence(scores: np.ndarray, lang: int) -> float:
-    """Probability of the language against the best other one, from the mean score of a word."""
-    mean = scores.mean(axis=0)
-    rest = np.delete(mean, lang).max()
-    return float(1 / (1 + np.exp(4 * (rest - mean[lang]))))
+def _confidence(sure: np.ndarray | None, size: np.ndarray, of: np.ndarray) -> float:
+    """Mean posterior of the words that have the language, by letters; 0 where none is asked for."""
+    if sure is None:
+        return 0.0
+    weight = size[of]
+    return float(sure[of] @ weight / weight.sum()) if weight.any() else 1.0 / len(LANGUAGES)
 
 
 def label_language(label: Column) -> Column:
@@ -386,10 +436,10 @@ def fit_model(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit_on([t for t, _ in sample], [l for _, l in sample])
 
 
-def label_parts(documents: DataFrame, model: Model | None = None, confidence: bool = True) -> DataFrame:
+def label_parts(documents: DataFrame, model: Model | None = None, confidence: bool = True, every: bool = False) -> DataFrame:
     """(doc_id, label, line_no, lang, confidence): line 0 with the main language of each document, and its lines in other languages.
 
-    Without ``confidence`` it is 0.
+    Without ``confidence`` it is 0.  With ``every`` documents without a language have a line 0 with nulls.
     """
     model = model or fit_model(documents)
     ship(documents.sparkSession)
@@ -402,11 +452,11 @@ def label_parts(documents: DataFrame, model: Model | None = None, confidence: bo
             texts = batch.column("text").to_pylist()
             for a, b in _ranges(texts):
                 places, lines, langs, sure = [], [], [], []
-                for i, rows in labeller.label(texts[a:b], confidence):
-                    for line, lang, probability in rows:
+                for i, rows in labeller.label(texts[a:b], confidence, every):
+                    for line, lang, probability in rows or [(0, None, None)]:
                         places.append(a + i)
                         lines.append(line)
-                        langs.append(LANGUAGES[lang])
+                        langs.append(None if lang is None else LANGUAGES[lang])
                         sure.append(probability)
                 at = pa.array(places, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -418,7 +468,7 @@ def label_parts(documents: DataFrame, model: Model | None = None, confidence: bo
     return source.mapInArrow(run, f"doc_id {id_type}, label string, line_no int, lang string, confidence double")
 
 
-def _ranges(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _ranges(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters together."""
     a, chars = 0, 0
     for i, text in enumerate(texts):
@@ -432,10 +482,8 @@ def _ranges(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
 
 def main_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, label, lang, confidence, label_ok) of each document; lang is null for those without running text."""
-    parts = label_parts(documents, model).filter("line_no = 0").select("doc_id", "lang", "confidence")
-    return documents.select("doc_id", F.col("lang").alias("label")).join(parts, "doc_id", "left").withColumn(
-        "label_ok", label_language(F.col("label")).eqNullSafe(F.col("lang"))
-    )
+    parts = label_parts(documents, model, every=True).filter("line_no = 0")
+    return parts.select("doc_id", "label", "lang", "confidence", label_language(F.col("label")).eqNullSafe(F.col("lang")).alias("label_ok"))
 
 
 def found(documents: DataFrame, model: Model | None = None) -> DataFrame:

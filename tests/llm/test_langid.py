@@ -1,8 +1,12 @@
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from sunloom.llm import langid, registry
 
+TABLE = Path("/root/testdata/sf0.01/documents.parquet")
 LINES = {
     "en": ["The measurements were repeated several times, and the threshold value remained stable.", "It has been found that the valve ages faster if the cover is not protected from moisture.", "The sensor can also be used together with the cable if the housing is missing."],
     "de": ["Die Messungen wurden mehrmals wiederholt, und der Schwellenwert blieb dabei stabil.", "Es hat sich gezeigt, dass das Ventil schneller altert, wenn die Abdeckung nicht geschützt wird.", "Der Messfühler kann auch zusammen mit dem Kabel verwendet werden, falls das Gehäuse fehlt."],
@@ -77,13 +81,69 @@ def test_decoding_together_equals_exact_viterbi(model):
     assert lab.decode([np.zeros(0, np.int32)])[0].tolist() == []
 
 
+def test_posteriors_equal_the_sums_over_all_paths(model, monkeypatch):
+    lab = langid.Labeller(model)
+    texts = ["la sensor de valve\nder cable", "die", "le la\n\nthe del het mit der"]
+    numbers = [lab.numbers(t) for t in texts]
+    lab.learn()
+    labels = lab.decode(numbers)
+    k = len(langid.LANGUAGES)
+    for tokens, own, got in zip(numbers, labels, lab.posterior(numbers, labels)):
+        emit = np.exp(lab.scores[tokens].astype(float))
+
+        def step(t):
+            c = np.exp(-(langid.CHANGE_AT_BREAK if tokens[t] == 0 else langid.CHANGE))
+            return np.full((k, k), c) + (1 - c) * np.eye(k)
+
+        ahead, back = [emit[0]], [np.ones(k)]
+        for t in range(1, len(tokens)):
+            ahead.append(ahead[-1] @ step(t - 1) * emit[t])
+            back.insert(0, step(len(tokens) - t - 1) @ (emit[len(tokens) - t] * back[0]))
+        both = np.array(ahead) * np.array(back)
+        want = (both / both.sum(axis=1, keepdims=True))[np.arange(len(tokens)), own]
+        assert np.allclose(got, want, atol=1e-4)
+    # In pieces as in one.
+    long = lab.numbers("\n".join(x for _ in range(20) for v in list(LINES.values())[:7] for x in v))
+    lab.learn()
+    labels = lab.decode([long])
+    whole = lab.posterior([long], labels)[0]
+    monkeypatch.setattr(langid, "PIECE", 300)
+    assert np.abs(lab.posterior([long], labels)[0] - whole).max() < 1e-3
+
+
+@pytest.mark.skipif(not TABLE.exists(), reason="no test tables")
+def test_confidence_is_the_share_of_right_labels_on_held_out_snippets():
+    """Fitted on the even documents; a few words of lines of the odd ones against the language of their whole line."""
+    docs = pd.read_parquet(TABLE, columns=["doc_id", "text", "lang"])
+    docs = docs[docs.lang.isin(langid.LANGUAGES[:7]) & docs.text.str.len().between(200, 20_000)]
+    fit, held = docs[docs.doc_id % 2 == 0], docs[docs.doc_id % 2 == 1]
+    lab = langid.Labeller(langid.fit_on(list(fit.text), list(fit.lang)))
+    rng = np.random.default_rng(3)
+    lines = [x for t in held.text for x in t.split("\n") if langid.is_running(x) and len(x.split()) > 8 and x.isascii()]
+    whole, parts = [], []
+    for i in rng.permutation(len(lines))[:3000]:
+        words, n = lines[i].split(), int(rng.integers(1, 7))
+        a = int(rng.integers(0, len(words) - n))
+        whole.append(lab.numbers(lines[i]))
+        parts.append(lab.numbers(" ".join(words[a : a + n])))
+    lab.learn()
+    of = lambda labels: np.array([np.bincount(x).argmax() for x in labels])
+    labels = lab.decode(parts)
+    right = of(labels) == of(lab.decode(whole))
+    sure = np.array([p.mean() for p in lab.posterior(parts, labels)])
+    assert right[sure > 0.99].mean() > 0.98 and right[sure < 0.6].mean() < 0.75
+    assert abs(sure.mean() - right.mean()) < 0.03
+
+
 def test_found_on_labels_nulls_repeats_and_long_texts(spark, model):
     rows = [(1, document("de"), "de-DE"), (2, document("de"), "en"), (3, document("fr"), None), (4, None, None), (5, "", "xx"), (6, document("es"), "ES"), (7, document("nl", [LINES["en"][0]]), "nld"), (2, document("de"), "en"), (8, "\n".join(LINES["pt"] * 3000), "und"), (9, document("it"), "it_IT")]
     df = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, lang string, label string, line_no int")
     got = sorted((r.doc_id, r.line_no, r.lang) for r in langid.found(df, model).collect())
     assert got == [(2, 0, "de"), (2, 0, "de"), (3, 0, "fr"), (7, 6, "en"), (8, 0, "pt")]
     assert langid.found(df.limit(0), model).count() == 0
-    m = {r.doc_id: r for r in langid.main_languages(df.filter("doc_id <> 2"), model).collect()}
+    every = langid.main_languages(df, model).collect()
+    assert sorted(r.doc_id for r in every) == sorted(r[0] for r in rows)
+    m = {r.doc_id: r for r in every}
     assert m[4].lang is None and m[1].label_ok and m[1].confidence > 0.9 and not m[3].label_ok
 
 
