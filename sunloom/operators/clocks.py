@@ -1,11 +1,11 @@
 """Stamps in mixed formats, precisions and zones to one UTC time.
 
-Each stamp is turned into a character-class mask (digits to 9, letters to A).  The
-distinct masks are matched once against the known families of formats, which gives
-a small table of parsers (pattern and template); the table is joined back, and all
-stamps are converted by column expressions.  Local clocks are resolved through a
-table of zone transitions that is computed from the zone database and carries its
-version.
+Each stamp is turned into a character-class mask (digits to 9, letters to A), each
+distinct mask is mapped to a parser once, and all stamps of a mask are converted
+together (``kernels.stamps``, over Arrow batches).  The log is read once for that; the
+few numbers of each stamp are written to the shared folder and all else reads them.
+Local clocks are resolved through a table of zone transitions that is computed from the
+zone database for the years that the log holds, and carries its version.
 
 An hour that occurs twice is told apart by the order of the records: only records
 within some hours of such a transition are compared, each (system, transition) for
@@ -13,11 +13,13 @@ itself, so a system with very many records is never gathered in one task.
 
 Defined results
 * null, empty and unreadable stamps, dates that don't exist and hours past 23: null;
-* a local time that is skipped by the change to daylight time is read with the
-  offset before the change;
+* a local time that is skipped by a change of the clock is read with the offset before
+  the change; all changes of a year count, in years 1 to 9999;
 * days and months are told apart by the records of the same system whose day is
   past 12, more of which decide; a system without any counts as month first, dates
   with dots always as day first;
+* an abbreviation that several zones share means that of the system's own zone, else the
+  smallest of their offsets; an unknown one gives no time;
 * with equal ``revised_at`` the metadata row with the largest values holds; systems
   without metadata have times only for stamps with a zone or since 1970;
 * records that equal each other in an undecidable repeated hour take the earlier time;
@@ -26,59 +28,28 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 from zoneinfo import TZPATH, ZoneInfo, ZoneInfoNotFoundError
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.kernels import stamps
+from sunloom.session import cut_lineage, ship
+
 HOUR_MS = 3_600_000
 #: Hours around a repeated hour in which records are compared.
 NEAR_H = 6
-#: Longest text that can be a stamp.
-LONGEST = 64
-_DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_FRACTION, _ZONE = r"(?:[.,]([0-9]{1,9})[0-9]{0,9})?", r"(?: ?([A-Za-z]{1,5}|[+-][0-9]{2}:?[0-9]{2}))?"
-_TIME = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})" + _FRACTION + ")?"
-#: Families of formats: name, pattern of the stamp, template of its fields (year, month, day, hour, minute, second, fraction, zone or half of the day).
-FAMILIES = (
-    ("iso", r"([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]" + _TIME + _ZONE, "$1|$2|$3|$4|$5|$6|$7|$8"),
-    ("iso", r"([0-9]{4})([0-9]{2})([0-9]{2})[T ]([0-9]{2})([0-9]{2})([0-9]{2})?" + _FRACTION + _ZONE, "$1|$2|$3|$4|$5|$6|$7|$8"),
-    ("ordinal", r"([0-9]{4})-([0-9]{3})[T ]" + _TIME + _ZONE, "$1||$2|$3|$4|$5|$6|$7"),
-    ("slash", r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) " + _TIME + r"(?: ?([AaPp][Mm]))?", "$3|$1|$2|$4|$5|$6|$7|$8"),
-    ("iso", r"([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4}) " + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
-    ("named", r"([0-9]{1,2})-([A-Za-z]{3})-([0-9]{2}|[0-9]{4}) " + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
-    ("named", r"(?:[A-Za-z]{3}, )?([0-9]{1,2}) ([A-Za-z]{3}) ([0-9]{4}) " + _TIME + _ZONE, "$3|$2|$1|$4|$5|$6|$7|$8"),
-    ("days", r"([0-9]{5})(?:\.[0-9]{1,18})?", None),
-    ("epoch", r"[0-9]{9,10}|[0-9]{12,13}|[0-9]{15,16}|[0-9]{18,19}", None),
-)
-_MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
-
-
-def mask_of(stamp: Column) -> Column:
-    """Digits as 9, letters as A, all else as it is; null for texts too long for a stamp."""
-    return F.when(F.length(stamp) <= LONGEST, F.translate(stamp, _DIGITS + _LETTERS, "9" * 10 + "A" * 52))
-
-
-def _mask_pattern(pattern: str) -> str:
-    """A pattern of stamps as one of their masks."""
-    for classes, mark in (("[AaPp][Mm]", "AA"), ("[A-Za-z]", "A"), ("[0-9]", "9"), ("[T ]", "[A ]")):
-        pattern = pattern.replace(classes, mark)
-    return pattern
-
-
-def parser_table(stamps: DataFrame) -> DataFrame:
-    """(mask, family, pattern, template) of each distinct mask of ``stamps.mask`` that a family fits.
-
-    Bounded: the patterns admit only some thousand masks, however many rows there are.
-    """
-    masks = stamps.select("mask").filter(F.col("mask").isNotNull()).distinct()
-    choice = F.lit(None)
-    for name, pattern, template in reversed(FAMILIES):
-        fits = F.col("mask").rlike(f"^(?:{_mask_pattern(pattern)})$")
-        choice = F.when(fits, F.struct(F.lit(name).alias("family"), F.lit(f"^(?:{pattern})$").alias("pattern"), F.lit(template).cast("string").alias("template"))).otherwise(choice)
-    return masks.select("mask", choice.alias("p")).filter(F.col("p").isNotNull()).select("mask", "p.*")
+#: Rules of the zone database repeat from this year on, each after ``CYCLE`` years.
+REPEATS_FROM, CYCLE = 2101, 400
+#: No clock changed before this year.
+NO_CHANGES_BEFORE = 1800
+_EVER = 1 << 60
+_SEGMENT = "struct<start:bigint,stop:bigint,off:bigint>"
+_TRANSITIONS = f"zone string, year int, segments array<{_SEGMENT}>, folds array<bigint>"
 
 
 def tz_version() -> str:
@@ -91,41 +62,48 @@ def tz_version() -> str:
     return "unknown"
 
 
-def zone_years(zone: str, first: int = 1990, last: int = 2037) -> list[tuple]:
-    """(zone, year, off0, u1, off1, u2, off2) for each local year: offsets in ms and the UTC ms from which the later ones hold."""
+def zone_segments(zone: str, years: Iterable[int]) -> list[tuple]:
+    """(zone, year, segments, folds) for each local year: the stretches of UTC ms with their offsets in ms, and the changes back."""
     try:
         z = ZoneInfo(zone)
     except (ZoneInfoNotFoundError, ValueError):
         return []
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
-    offset = lambda t: int((epoch + timedelta(seconds=t)).astimezone(z).utcoffset().total_seconds())
-    rows = []
-    for year in range(first, last + 1):
-        start = int((datetime(year, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
-        stop = int((datetime(year + 1, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
-        changes, t, o = [], start - 14 * 3600, offset(start - 14 * 3600)
-        row = [zone, year, o * 1000]
-        while t < stop + 14 * 3600:
-            n = min(t + 7 * 86400, stop + 14 * 3600)
-            if (o2 := offset(n)) != o:
-                lo, hi = t, n
+    cycle_ms = 146_097 * stamps.DAY_MS
+
+    def offset(t: int) -> int:
+        return int((epoch + timedelta(seconds=t)).astimezone(z).utcoffset().total_seconds())
+
+    def changes(year: int) -> list[tuple[int, int]]:
+        """The offset at the start of the year, less a day, and all changes until a day after its end, in seconds."""
+        start = int((datetime(max(year, 2), 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) - 86_400
+        days = 368 if year >= NO_CHANGES_BEFORE else 0
+        out, o = [(-_EVER, offset(start))], offset(start)
+        for t in range(start, start + days * 86_400, 86_400):
+            if (o2 := offset(t + 86_400)) != o:
+                lo, hi = t, t + 86_400
                 while hi - lo > 1:
                     mid = (lo + hi) // 2
                     lo, hi = (mid, hi) if offset(mid) == o else (lo, mid)
-                changes.append((hi * 1000, o2 * 1000))
+                out.append((hi * 1000, o2))
                 o = o2
-            t = n
-        changes = (changes + [(None, None)] * 2)[:2]
-        rows.append((*row, *changes[0], *changes[1]))
+        return out
+
+    rows = []
+    for year in sorted(set(years)):
+        turns = max(0, (year - REPEATS_FROM) // CYCLE)
+        found = [(u + turns * cycle_ms if u > -_EVER else u, o * 1000) for u, o in changes(year - turns * CYCLE)]
+        stops = [u for u, _ in found[1:]] + [_EVER]
+        rows.append((zone, year, [(u, v, o) for (u, o), v in zip(found, stops)], [u for (u, o), (_, before) in zip(found[1:], found) if o < before]))
     return rows
 
 
-def transition_table(zone_names: DataFrame) -> DataFrame:
-    """Versioned transitions of the zones in ``zone_names`` (a fixed table of a dozen zones) by local year."""
+def transition_table(zone_names: DataFrame, years: Iterable[int]) -> DataFrame:
+    """Versioned transitions of the zones in ``zone_names`` (a fixed table of a dozen zones) in the given local years."""
+    years = sorted(set(years))
     zones = sorted(r[0] for r in zone_names.select("time_zone").filter("time_zone IS NOT NULL").distinct().collect())
-    rows = [r for z in zones for r in zone_years(z)]
-    schema = "zone string, year int, off0 long, u1 long, off1 long, u2 long, off2 long"
-    return zone_names.sparkSession.createDataFrame(rows, schema).withColumn("tz_version", F.lit(tz_version()))
+    rows = [r for z in zones for r in zone_segments(z, years)]
+    return zone_names.sparkSession.createDataFrame(rows, _TRANSITIONS).withColumn("tz_version", F.lit(tz_version()))
 
 
 def latest_metadata(meta: DataFrame) -> DataFrame:
@@ -136,129 +114,100 @@ def latest_metadata(meta: DataFrame) -> DataFrame:
     return meta.filter(F.col("system").isNotNull()).groupBy("system").agg(last).select("system", *[F.col(f"m.{c}") for c in fields])
 
 
-def _fields(df: DataFrame) -> DataFrame:
-    """Add ``f``, the texts of a stamp's fields in the order of the templates."""
-    f = F.split(F.regexp_replace(F.col("t"), F.col("pattern"), F.col("template")), r"\|", -1)
-    return df.withColumn("f", F.when(F.col("template").isNotNull(), f))
-
-
-def _part(i: int) -> Column:
-    return F.get("f", F.lit(i))
+def read_stamps(log: DataFrame) -> DataFrame:
+    """(rec_id, system, seq_no, mask, family, clock, swapped, absolute, abbr, hint): the numbers of each record's stamp."""
+    source = log.select("rec_id", F.col("system").cast("string").alias("system"), F.col("seq_no").cast("long").alias("seq_no"), F.btrim(F.col("raw_ts").cast("string"), F.lit(" \t\r\n")).alias("t"))
+    names = ("mask", "family", "clock", "swapped", "absolute", "abbr", "hint")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = stamps.Reader()
+        for batch in batches:
+            read = reader.read(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rec_id", "system", "seq_no")), *(read[c] for c in names)], ["rec_id", "system", "seq_no", *names])
 
-def _int(i: int) -> Column:
-    return _part(i).try_cast("int")
+    ship(log.sparkSession)
+    id_type = source.schema["rec_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"rec_id {id_type}, system string, seq_no long, mask string, family string, clock long, swapped long, absolute long, abbr string, hint int")
 
 
-def _clock_ms(month: Column, day: Column) -> Column:
-    """ms since 1970 of the clock time in f, null where it isn't one."""
-    year = F.when(F.length(_part(0)) == 2, _int(0) + 2000).otherwise(_int(0))
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    longest = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    ordinal = F.col("family") == "ordinal"
-    real = F.when(ordinal, day.between(1, F.when(leap, 366).otherwise(365))).otherwise(month.between(1, 12) & day.between(1, longest))
-    days = F.when(real & year.between(1, 9999), F.unix_date(F.make_date(year, F.when(ordinal, 1).otherwise(month), F.when(ordinal, 1).otherwise(day))) + F.when(ordinal, day - 1).otherwise(0))
-    half = F.upper(F.when(F.col("family") == "slash", _part(7)))
-    hour = F.when(F.coalesce(half, F.lit("")) == "", F.when(_int(3).between(0, 23), _int(3))).when(_int(3).between(1, 12), _int(3) % 12 + F.when(half == "PM", 12).otherwise(0))
-    second = F.when(F.coalesce(_part(5), F.lit("")) == "", 0).otherwise(_int(5))
-    nanos = F.rpad(F.coalesce(_part(6), F.lit("")), 9, "0").try_cast("long")
-    ok = _int(4).between(0, 59) & second.between(0, 59)
-    whole = days.cast("long") * 86400 + hour * 3600 + F.when(ok, _int(4)) * 60 + second
-    return whole * 1000 + F.floor((nanos + 500_000) / 1_000_000)
+def _abbreviations(zone_names: DataFrame) -> DataFrame:
+    """(abbr, by_zone map of zone to hours, least hours) of the fixed table of zones."""
+    pairs = F.array(*[F.struct(F.upper(f"{k}_abbr").alias("abbr"), F.col(f"{k}_offset_h").alias("h")) for k in ("std", "dst")])
+    each = zone_names.select("time_zone", F.explode(pairs).alias("z")).select("time_zone", "z.*").filter("abbr IS NOT NULL AND h IS NOT NULL AND NOT isnan(h)")
+    own = each.filter("time_zone IS NOT NULL").groupBy("abbr", "time_zone").agg(F.min("h").alias("h"))
+    by_zone = own.groupBy("abbr").agg(F.map_from_entries(F.collect_list(F.struct("time_zone", "h"))).alias("by_zone"))
+    return each.groupBy("abbr").agg(F.min("h").alias("least_h")).join(by_zone, "abbr", "left")
 
 
-def _utc_of(local: Column) -> tuple[Column, Column]:
-    """(earliest, latest) UTC ms that a clock following its zone can mean by ``local``."""
-    o0, o1, o2, u1, u2 = (F.col(c) for c in ("off0", "off1", "off2", "u1", "u2"))
-    c0 = F.when(u1.isNull() | (local - o0 < u1), local - o0)
-    c1 = F.when((local - o1 >= u1) & (u2.isNull() | (local - o1 < u2)), local - o1)
-    c2 = F.when(local - o2 >= u2, local - o2)
-    gap = F.when(local - o1 < u1, local - o0).otherwise(local - o1)
-    return F.coalesce(F.least(c0, c1, c2), gap), F.coalesce(F.greatest(c0, c1, c2), gap)
-
-
-def utc_times(log: DataFrame, meta: DataFrame, zone_names: DataFrame) -> DataFrame:
-    """(rec_id, utc_ms, mask, family, source) of all records; utc_ms is null where a stamp gives no time.
-
-    source: absolute, zone (clock with daylight time), standard, or null.
-    """
-    stamps = log.select("rec_id", "system", "seq_no", F.btrim("raw_ts", F.lit(" \t\r\n")).alias("t")).withColumn("mask", mask_of(F.col("t")))
-    # The tables of parsers, zones and abbreviations have a proven bound; metadata grows and is joined as the planner decides.
-    parsed = _fields(stamps.join(F.broadcast(parser_table(stamps)), "mask", "left"))
-    slash = parsed.filter((F.col("family") == "slash") & F.col("system").isNotNull()).groupBy("system").agg(
-        F.count_if(_int(1) > 12).alias("day_first"), F.count_if(_int(2) > 12).alias("month_first")
-    )
+def _systems(read: DataFrame, meta: DataFrame, zone_names: DataFrame) -> DataFrame:
+    """One row a system: its zone, standard offset, correction and order of day and month."""
+    order = read.filter((F.col("family") == "slash") & F.col("system").isNotNull()).groupBy("system").agg((F.count_if(F.col("hint") > 0) > F.count_if(F.col("hint") < 0)).alias("day_is_first"))
     zones = zone_names.select("time_zone", F.nanvl("std_offset_h", F.lit(None)).alias("std_h"))
-    systems = (
+    return (
         latest_metadata(meta)
+        # A fixed table of a dozen zones.
         .join(F.broadcast(zones.groupBy("time_zone").agg(F.max("std_h").alias("std_h"))), "time_zone", "left")
-        .join(slash, "system", "full_outer")
+        .join(order, "system", "full_outer")
         .select(
             "system",
             "time_zone",
             (F.coalesce("time_shift_manual", F.lit(0)) == 1).alias("follows"),
             F.round(F.coalesce("std_h", "gmt_offset") * HOUR_MS).cast("long").alias("std_ms"),
             (F.coalesce("time_zone_correction", F.lit(0)).cast("long") * HOUR_MS).alias("correction_ms"),
-            (F.coalesce("day_first", F.lit(0)) > F.coalesce("month_first", F.lit(0))).alias("day_is_first"),
+            F.coalesce("day_is_first", F.lit(False)).alias("day_is_first"),
         )
     )
-    abbreviations = (
-        zone_names.select(F.explode(F.array(F.struct(F.upper("std_abbr").alias("abbr"), F.col("std_offset_h").alias("h")), F.struct(F.upper("dst_abbr").alias("abbr"), F.col("dst_offset_h").alias("h")))).alias("z"))
-        .select("z.*")
-        .filter("abbr IS NOT NULL AND h IS NOT NULL AND NOT isnan(h)")
-        .groupBy("abbr")
-        .agg(F.min("h").alias("abbr_h"))
-    )
-    month = F.when((F.col("family") == "named") & (F.length(_part(1)) == 3), ((F.instr(F.lit(_MONTHS), F.upper(_part(1))) + 3) / 4).cast("int"))
-    swap = (F.col("family") == "slash") & F.coalesce("day_is_first", F.lit(False))
-    month = F.coalesce(month, F.when(swap, _int(2)).otherwise(_int(1)))
-    day = F.when(swap, _int(1)).otherwise(_int(2))
-    zone_text = F.upper(F.when(F.col("family") != "slash", _part(7)))
-    numeric = F.regexp_extract(zone_text, "^([+-])([0-9]{2}):?([0-9]{2})$", 2)
-    minutes = F.regexp_extract(zone_text, "^([+-])([0-9]{2}):?([0-9]{2})$", 3)
-    sign = F.when(zone_text.startswith("-"), -1).otherwise(1)
-    stated_ms = (
-        F.when(zone_text.isin("Z", "UTC", "GMT", "UT"), F.lit(0))
-        .when(numeric != "", sign * (numeric.try_cast("int") * 60 + minutes.try_cast("int")) * 60_000)
-        .otherwise(F.round(F.col("abbr_h") * HOUR_MS))
-        .cast("long")
-    )
-    digits = F.length("t")
-    epoch = F.col("t").try_cast("decimal(20,0)")
-    since_1970 = F.when(digits <= 10, epoch * 1000).when(digits <= 13, epoch).when(digits <= 16, F.floor((epoch + 500) / 1000)).otherwise(F.floor((epoch + 500_000) / 1_000_000)).cast("long")
-    counted = F.round((F.col("t").try_cast("decimal(28,18)") - 25_569).cast("double") * 86_400_000).cast("long")
-    # A count of days has at most some 1e-10 days of precision, so a double holds it exactly enough.
-    has_zone = F.coalesce(zone_text, F.lit("")) != ""
-    local = (
-        parsed.withColumn("zone_text", zone_text)
-        .join(F.broadcast(abbreviations), F.col("zone_text") == F.col("abbr"), "left")
-        .join(systems, "system", "left")
-        .withColumn("clock", F.when(F.col("family") == "days", counted).when(F.col("family") != "epoch", _clock_ms(month, day)))
-        .withColumn("absolute", F.when(F.col("family") == "epoch", since_1970).when(has_zone, F.col("clock") - stated_ms))
-        .select(
-            "rec_id", "system", "seq_no", "mask", "family", "time_zone", "follows", "std_ms", "correction_ms", "absolute",
-            F.when(~has_zone, F.col("clock")).alias("clock"),
-        )
+
+
+def _utc_of(clock: Column) -> tuple[Column, Column]:
+    """(earliest, latest) UTC ms that a clock following its zone can mean, by the segments of its year."""
+    fits = lambda s: (clock - s["off"] >= s["start"]) & (clock - s["off"] < s["stop"])
+    may = F.transform(F.filter("segments", fits), lambda s: clock - s["off"])
+    # Skipped by a change: the last segment that is over by its own clock.
+    gone = F.array_max(F.transform(F.filter("segments", lambda s: clock - s["off"] >= s["stop"]), lambda s: F.struct(s["stop"].alias("stop"), (clock - s["off"]).alias("ms"))))["ms"]
+    return F.coalesce(F.array_min(may), gone), F.coalesce(F.array_max(may), gone)
+
+
+def utc_times(log: DataFrame, meta: DataFrame, zone_names: DataFrame) -> DataFrame:
+    """(rec_id, utc_ms, mask, family, source, tz_version) of all records; utc_ms is null where a stamp gives no time.
+
+    source: absolute, zone (clock with daylight time), standard, or null; tz_version: of
+    the zone database, where it was asked.
+    """
+    read = cut_lineage(read_stamps(log))
+    # The tables of zones and abbreviations have a proven bound; metadata grows and is joined as the planner decides.
+    joined = read.join(_systems(read, meta, zone_names), "system", "left").join(F.broadcast(_abbreviations(zone_names)), "abbr", "left")
+    written = F.when((F.col("family") == "slash") & F.coalesce("day_is_first", F.lit(False)), F.col("swapped")).otherwise(F.col("clock"))
+    stated_ms = F.round(F.coalesce(F.try_element_at("by_zone", F.col("time_zone")), F.col("least_h")) * HOUR_MS).cast("long")
+    local = joined.select(
+        "rec_id", "system", "seq_no", "mask", "family", "time_zone", "follows", "std_ms", "correction_ms",
+        F.coalesce("absolute", F.when(F.col("abbr").isNotNull(), written - stated_ms)).alias("absolute"),
+        F.when(F.col("abbr").isNull() & F.col("absolute").isNull(), written).alias("clock"),
     )
-    years = transition_table(zone_names)
-    at = local.withColumn("local_year", F.year(F.timestamp_millis(F.coalesce("clock", F.col("absolute") + F.col("std_ms"))))).join(
-        F.broadcast(years), (F.col("time_zone") == F.col("zone")) & (F.col("local_year") == F.col("year")) & F.col("follows"), "left"
+    # At most the years 1 to 9999; those next to them for times near a year's end.
+    shown = F.year(F.timestamp_millis(F.coalesce("clock", "swapped", "absolute")))
+    years = [r[0] for r in read.select(shown.alias("year")).distinct().collect() if r[0] is not None]
+    table = transition_table(zone_names, [y + k for y in years for k in (-1, 0, 1) if 1 <= y + k <= 9999])
+    at = local.withColumn("local_year", F.year(F.timestamp_millis(F.coalesce("clock", F.col("absolute") + F.coalesce("std_ms", F.lit(0)))))).join(
+        F.broadcast(table), (F.col("time_zone") == F.col("zone")) & (F.col("local_year") == F.col("year")) & F.col("follows"), "left"
     ).drop("year", "local_year")
     early, late = _utc_of(F.col("clock"))
-    zoned = F.col("follows") & F.col("zone").isNotNull()
+    absolute, zoned = F.col("absolute").isNotNull(), F.col("follows") & F.col("zone").isNotNull()
     at = at.withColumns(
         {
-            "early": F.when(F.col("absolute").isNotNull(), F.col("absolute")).when(zoned, early).otherwise(F.col("clock") - F.col("std_ms") + F.when(F.col("follows"), 0).otherwise(F.col("correction_ms"))),
-            "late": F.when(F.col("absolute").isNotNull(), F.col("absolute")).when(zoned, late),
-            # The change back from daylight time in this local year.
-            "fold": F.when(zoned, F.when(F.col("off1") < F.col("off0"), F.col("u1")).when(F.col("off2") < F.col("off1"), F.col("u2"))),
-            "source": F.when(F.col("absolute").isNotNull(), F.lit("absolute")).when(zoned, F.lit("zone")).otherwise(F.lit("standard")),
+            "early": F.when(absolute, F.col("absolute")).when(zoned, early).otherwise(F.col("clock") - F.col("std_ms") + F.when(F.col("follows"), 0).otherwise(F.col("correction_ms"))),
+            "late": F.when(absolute, F.col("absolute")).when(zoned, late),
+            "source": F.when(absolute, F.lit("absolute")).when(zoned, F.lit("zone")).otherwise(F.lit("standard")),
         }
-    ).withColumn("near", F.coalesce((F.abs(F.col("early") - F.col("fold")) <= NEAR_H * HOUR_MS) & F.col("seq_no").isNotNull(), F.lit(False)))
-    columns = ["rec_id", "utc_ms", "mask", "family", "source"]
-    plain = at.filter(~F.col("near")).withColumn("utc_ms", F.col("early"))
-    close = _told_apart(at.filter("near").select("rec_id", "system", "seq_no", "mask", "family", "source", "clock", "fold", "early", "late"))
-    return plain.select(columns).unionByName(close.select(columns)).withColumn("source", F.when(F.col("utc_ms").isNotNull(), F.col("source")))
+    )
+    # The change back that a time is near to.
+    fold = F.when(zoned & F.col("seq_no").isNotNull(), F.get(F.filter("folds", lambda f: F.abs(F.col("early") - f) <= NEAR_H * HOUR_MS), F.lit(0)))
+    at = at.withColumn("fold", fold).withColumn("tz_version", F.when(F.col("source") == "zone", F.col("tz_version"))).drop("segments", "folds")
+    columns = ["rec_id", "utc_ms", "mask", "family", "source", "tz_version"]
+    plain = at.filter(F.col("fold").isNull()).withColumn("utc_ms", F.col("early"))
+    close = _told_apart(at.filter(F.col("fold").isNotNull()).select("rec_id", "system", "seq_no", "mask", "family", "source", "tz_version", "clock", "fold", "early", "late"))
+    given = F.col("utc_ms").isNotNull()
+    return plain.select(columns).unionByName(close.select(columns)).withColumns({"source": F.when(given, F.col("source")), "tz_version": F.when(given, F.col("tz_version"))})
 
 
 def _told_apart(near: DataFrame) -> DataFrame:

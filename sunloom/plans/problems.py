@@ -41,7 +41,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.found(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p5_found)}
+def p5_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of the log with its time, what it was read from and the version of the zone database that was asked."""
+    return clocks.utc_times(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p5_found, p5_times)}
 
 #: Step of each source as the nearest to the middle distance of its readings within a day, then all grid points without a reading.
 _P3 = """WITH raw AS (SELECT site, sensor, ts, CAST(ts AS DATE) AS day, CAST(epoch_ms(ts) - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS BIGINT) AS ms,

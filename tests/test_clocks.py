@@ -2,7 +2,9 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pyarrow as pa
 
+from sunloom.kernels import stamps
 from sunloom.operators import clocks
 
 LOG = "rec_id long, site string, system string, seq_no long, raw_ts string, meas_val_f double, mask string, year int"
@@ -72,15 +74,55 @@ def test_repeated_hour_by_order_against_brute_force(spark):
 
 
 def test_zone_table_against_zoneinfo():
-    for zone in ("America/New_York", "America/Phoenix", "Australia/Adelaide"):
+    for zone in ("America/New_York", "America/Phoenix", "Australia/Adelaide", "Africa/Casablanca"):
         z = ZoneInfo(zone)
-        for _, year, o0, u1, o1, u2, o2 in clocks.zone_years(zone, 2020, 2023):
+        for _, year, segments, folds in clocks.zone_segments(zone, [1985, 2012, 2020, 2023, 2040, 2101, 2450, 9998]):
+            assert [s[1] for s in segments[:-1]] == [s[0] for s in segments[1:]]
             for hour in range(0, 8700, 37):
                 t = datetime(year, 1, 1, 14, tzinfo=UTC) + timedelta(hours=hour)
-                at = t.timestamp() * 1000
-                offset = o2 if u2 is not None and at >= u2 else o1 if u1 is not None and at >= u1 else o0
-                assert offset == t.astimezone(z).utcoffset().total_seconds() * 1000
-    assert clocks.zone_years("No/Where") == []
+                at = (t - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(milliseconds=1)
+                assert [s[2] for s in segments if s[0] <= at < s[1]] == [t.astimezone(z).utcoffset().total_seconds() * 1000]
+    assert len(clocks.zone_segments("Africa/Casablanca", [2012])[0][2]) == 5
+    assert clocks.zone_segments("No/Where", [2020]) == []
+
+
+def test_all_years_and_all_changes_of_a_year(spark):
+    berlin, casablanca = ("a", "p", None, 1, None, "Europe/Berlin", 0), ("b", "p", None, 1, None, "Africa/Casablanca", 0)
+    texts = ["2040-07-01 12:00", "1985-07-01 12:00", "1970-07-01 12:00", "2500-07-01 12:00", "9999-12-31 23:00", "0001-01-01 00:00"]
+    days = [f"2012-{m:02d}-{d:02d} 12:00" for m in range(1, 13) for d in (1, 15, 28)]
+    log = [("a", i, t) for i, t in enumerate(texts)] + [("b", i, t) for i, t in enumerate(days)]
+    at = datetime(2024, 1, 1)
+    m = spark.createDataFrame([("s", *r, at) for r in (berlin, casablanca)], META)
+    z = spark.createDataFrame([("Europe/Berlin", 1.0, 2.0, "CET", "CEST"), ("Africa/Casablanca", 0.0, 1.0, "WET", "WEST")], "time_zone string, std_offset_h double, dst_offset_h double, std_abbr string, dst_abbr string")
+    rows = [(i, "s", s, q, t, 1.0, "clash", 7) for i, (s, q, t) in enumerate(log)]
+    got = {r.rec_id: r for r in clocks.utc_times(spark.createDataFrame(rows, LOG), m, z).collect()}
+    for i, (s, _, t) in enumerate(log):
+        local = datetime.strptime(t, "%Y-%m-%d %H:%M").replace(tzinfo=ZoneInfo("Europe/Berlin" if s == "a" else "Africa/Casablanca"))
+        want = (local.replace(tzinfo=None) - local.utcoffset() - datetime(1970, 1, 1)) // timedelta(milliseconds=1) if t[:4] != "0001" else None
+        if want is not None:
+            assert got[i].utc_ms == want and got[i].source == "zone", t
+        assert got[i].tz_version == clocks.tz_version()
+
+
+def test_a_shared_abbreviation_is_that_of_the_systems_zone(spark):
+    at = datetime(2024, 1, 1)
+    m = spark.createDataFrame([("s", k, "p", None, 0, 0.0, z, 0, at) for k, z in (("a", "Asia/Shanghai"), ("b", "America/Chicago"), ("c", None))], META)
+    z = spark.createDataFrame([("Asia/Shanghai", 8.0, None, "CST", None), ("America/Chicago", -6.0, -5.0, "CST", "CDT")], "time_zone string, std_offset_h double, dst_offset_h double, std_abbr string, dst_abbr string")
+    log = spark.createDataFrame([(i, "s", k, 1, "2022-01-01 00:00:00 CST", 1.0, "", 0) for i, k in enumerate("abc")], LOG)
+    got = {r.rec_id: r.utc_ms for r in clocks.found(log, m, z).collect()}
+    assert [got[i] - ms(2022, 1, 1) for i in range(3)] == [-8 * 3_600_000, 6 * 3_600_000, 6 * 3_600_000]
+
+
+def test_masks_are_told_apart_and_read_once():
+    texts = ["2022-03-04 05:06:00", None, "", "2022-03-04 05:06:00", "x" * 80, "é", "3/4/2022 5:06:00 am", "14/3/2022 00:00"]
+    reader = stamps.Reader()
+    got = {k: v.to_pylist() for k, v in reader.read(pa.array(texts)).items()}
+    assert got["mask"][0] == got["mask"][3] == "9999-99-99 99:99:99" and got["mask"][1] is None and got["mask"][4] is None
+    assert got["family"] == ["iso", None, None, "iso", None, None, "slash", "slash"]
+    assert got["clock"][6] == ms(2022, 3, 4, 5, 6) and got["swapped"][6] == ms(2022, 4, 3, 5, 6) and got["hint"][7] == 1 and got["clock"][7] is None
+    sliced = {k: v.to_pylist() for k, v in reader.read(pa.array(texts).slice(3, 4)).items()}
+    assert all(sliced[k] == v[3:7] for k, v in got.items())
+    assert reader.read(pa.array([], pa.string()))["mask"].to_pylist() == []
 
 
 def test_latest_metadata_and_empty_tables(spark):
