@@ -13,7 +13,10 @@ Defined results
 * an empty file has no rows, a file of a header alone neither; records of a file
   without line 1 have no columns to fit and are bad for ``columns``;
 * records with equal (file_id, line_no) count as one key: it is bad if one of them
-  is, for the first reason that fits any of them;
+  is, for the first reason that fits any of them; records without a line number are told
+  apart by their text;
+* a file without a name has no header, so its records are bad for ``columns``; a name
+  that a header repeats stays a column each time;
 * tables with extra columns, also named like internal ones, are allowed: only
   file_id, line_no and line are read.
 """
@@ -40,8 +43,9 @@ RULES = (
     ("number", "\t", 2, _NUMBER, True),
     ("number", ";", 2, _NUMBER.replace(r"\.", "[.,]"), True),
 )
-_TS_PATTERN = RULES[2][3]
 NULL_TEXTS = ("", "NA", "NaN")
+#: Parts into which the records of each file are spread to meet their header, so that no file is one task.
+PARTS = 32
 
 
 def _unmask(cell: Column, delimiter: Column) -> Column:
@@ -117,7 +121,9 @@ def parsed_lines(raw: DataFrame) -> DataFrame:
     body = raw.filter(~F.col("line_no").eqNullSafe(1)).select(
         "file_id", "line_no", F.regexp_replace(F.coalesce("line", F.lit("")), "\r$", "").alias("text")
     )
-    joined = body.join(headers(raw), "file_id", "left").withColumns(
+    part = F.pmod(F.xxhash64("line_no", "text"), F.lit(PARTS))
+    heads = headers(raw).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    joined = body.withColumn("part", part).join(heads, ["file_id", "part"], "left").drop("part").withColumns(
         {"delimiter": F.coalesce("delimiter", F.lit(",")), "columns": F.coalesce("columns", F.array().cast("array<string>"))}
     )
     return parse_cells(joined)
@@ -125,7 +131,8 @@ def parsed_lines(raw: DataFrame) -> DataFrame:
 
 def rule_table(df: DataFrame) -> DataFrame:
     """The rule table as rows, a fixed handful."""
-    return df.sparkSession.createDataFrame(list(RULES), "rule_kind string, rule_delimiter string, rank int, pattern string, nullable boolean")
+    rows = [(i, *rule) for i, rule in enumerate(RULES)]
+    return df.sparkSession.createDataFrame(rows, "rule int, rule_kind string, rule_delimiter string, rank int, pattern string, nullable boolean")
 
 
 def cell_errors(parsed: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
@@ -149,15 +156,17 @@ def cell_errors(parsed: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no"
     ).select(*keys, "delimiter", "parsed", "cell.name", "cell.value")
     kind = F.when(~F.col("parsed") | F.col("name").isin("ts", "status", "note"), F.col("name")).otherwise(F.lit("number"))
     value = F.btrim("value", F.lit(" \t"))
-    day = F.when(
-        (F.col("kind") == "ts") & value.rlike(f"^(?:{_TS_PATTERN})$"),
-        F.dayofmonth(F.last_day(F.try_to_date(F.concat(F.substring(value, 1, 8), F.lit("01"))))) >= F.substring(value, 9, 2).try_cast("int"),
-    ).otherwise(F.lit(True))
-    valid = (
-        F.when(value.isin(*NULL_TEXTS), F.col("nullable"))
-        .when(F.col("pattern").isNull(), F.lit(True))
-        .otherwise(F.rlike(value, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))) & F.coalesce(day, F.lit(False)))
-    )
+    # The rule of a cell is looked up in the table; its pattern is a literal here, so that it is compiled once.
+    fits = F.lit(False)
+    for i, (name, _, _, pattern, _) in enumerate(RULES):
+        if name in REASONS:
+            continue
+        ok = F.lit(True) if pattern is None else value.rlike(f"^(?:{pattern})$")
+        if name == "ts":
+            # The first of the month is a date; days past 28 are looked up.
+            ok &= (F.substring(value, 9, 2) <= "28") | (F.dayofmonth(F.last_day(F.try_to_date(F.concat(F.substring(value, 1, 8), F.lit("01"))))) >= F.substring(value, 9, 2).try_cast("int"))
+        fits = F.when(F.col("rule") == i, ok).otherwise(fits)
+    valid = F.when(value.isin(*NULL_TEXTS), F.col("nullable")).otherwise(F.coalesce(fits, F.lit(False)))
     return (
         cells.withColumn("kind", kind)
         .join(
@@ -175,15 +184,27 @@ def bad_lines(raw: DataFrame) -> DataFrame:
     return first.select("file_id", "line_no", F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank") + 1).alias("reason"))
 
 
-def clean_lines(raw: DataFrame) -> DataFrame:
-    """The valid records as (file_id, line_no, values map<column, text>), nulls for the null texts.
-
-    Records without a line number are told apart by their text; those without a file have no header and are bad.
-    """
+def _good(raw: DataFrame) -> DataFrame:
+    """The parsed records that the anti-join with the bad ones keeps."""
     parsed = parsed_lines(raw)
     keys = ("file_id", "line_no", "text")
     bad = cell_errors(parsed, keys).select(*[F.col(k).alias(f"bad_{k}") for k in keys]).distinct()
     same = F.col("file_id").eqNullSafe(F.col("bad_file_id")) & F.col("line_no").eqNullSafe(F.col("bad_line_no"))
-    good = parsed.join(bad, same & (F.col("line_no").isNotNull() | (F.col("text") == F.col("bad_text"))), "left_anti")
-    text = lambda v: F.when(~F.btrim(v).isin(*NULL_TEXTS), F.btrim(v))
-    return good.select("file_id", "line_no", F.map_from_arrays("columns", F.transform("cells", text)).alias("values"))
+    return parsed.join(bad, same & (F.col("line_no").isNotNull() | (F.col("text") == F.col("bad_text"))), "left_anti")
+
+
+def _value(cell: Column) -> Column:
+    text = F.btrim(cell, F.lit(" \t"))
+    return F.when(~text.isin(*NULL_TEXTS), text)
+
+
+def clean_lines(raw: DataFrame) -> DataFrame:
+    """The valid records as (file_id, line_no, values array<struct<column, value>>) in the order of the header, nulls for the null texts."""
+    pairs = F.zip_with("columns", "cells", lambda n, c: F.struct(n.alias("column"), _value(c).alias("value")))
+    return _good(raw).select("file_id", "line_no", pairs.alias("values"))
+
+
+def loaded_cells(raw: DataFrame) -> DataFrame:
+    """(file_id, line_no, position, column, value) of each cell of the valid records, position from 1."""
+    cells = _good(raw).select("file_id", "line_no", "columns", F.posexplode("cells").alias("i", "cell"))
+    return cells.select("file_id", "line_no", (F.col("i") + 1).alias("position"), F.get("columns", F.col("i")).alias("column"), _value(F.col("cell")).alias("value"))

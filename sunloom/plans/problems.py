@@ -37,6 +37,11 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     return rowcheck.clean_lines(table(spark, folder, "raw_lines"))
 
 
+def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid rows, one row a cell."""
+    return rowcheck.loaded_cells(table(spark, folder, "raw_lines"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.found(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
 
@@ -46,7 +51,7 @@ def p5_times(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.utc_times(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p5_found, p5_times)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p4_loaded, p5_found, p5_times)}
 
 #: Step of each source as the nearest to the middle distance of its readings within a day, then all grid points without a reading.
 _P3 = """WITH raw AS (SELECT site, sensor, ts, CAST(ts AS DATE) AS day, CAST(epoch_ms(ts) - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS BIGINT) AS ms,
@@ -65,19 +70,22 @@ slots AS (SELECT site, sensor, x.x AS slot FROM grid, generate_series(CAST(a AS
 taken AS (SELECT DISTINCT raw.site, raw.sensor, CAST(raw.day AS TIMESTAMP) + INTERVAL (CAST(floor(ms / (step * 60000.0) + 0.5) AS BIGINT) * step) MINUTE AS slot FROM raw JOIN grid ON grid.site = raw.site AND grid.sensor = raw.sensor WHERE ok)
 SELECT site, sensor, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot FROM slots ANTI JOIN taken USING (site, sensor, slot)"""
 #: Fields of well-quoted records by pattern; each field against the pattern of its column's kind.
-_P4 = r"""WITH h AS (SELECT file_id, min(line) AS line FROM (SELECT file_id, regexp_replace(regexp_replace(coalesce(line, ''), '^\x{FEFF}+', ''), '\r$', '') AS line FROM raw_lines WHERE line_no = 1) GROUP BY 1),
+_LINES = r"""WITH h AS (SELECT file_id, min(line) AS line FROM (SELECT file_id, regexp_replace(regexp_replace(coalesce(line, ''), '^\x{FEFF}+', ''), '\r$', '') AS line FROM raw_lines WHERE line_no = 1) GROUP BY 1),
 d AS (SELECT file_id, line, CASE WHEN length(replace(line, ',', '')) <= least(length(replace(line, ';', '')), length(replace(line, chr(9), ''))) THEN ',' WHEN length(replace(line, ';', '')) <= length(replace(line, chr(9), '')) THEN ';' ELSE chr(9) END AS d FROM h),
 b AS (SELECT r.file_id, r.line_no, regexp_replace(coalesce(r.line, ''), '\r$', '') AS text, d.d, string_split(replace(d.line, '"', ''), d.d) AS names FROM raw_lines r JOIN d USING (file_id) WHERE line_no <> 1),
 q AS (SELECT *, CASE d WHEN ',' THEN regexp_full_match(text, '(?s)(?:[^",]*|[ \t]*"(?:[^"]|"")*"[ \t]*)(?:,(?:[^",]*|[ \t]*"(?:[^"]|"")*"[ \t]*))*')
 WHEN ';' THEN regexp_full_match(text, '(?s)(?:[^";]*|[ \t]*"(?:[^"]|"")*"[ \t]*)(?:;(?:[^";]*|[ \t]*"(?:[^"]|"")*"[ \t]*))*')
 ELSE regexp_full_match(text, '(?s)(?:[^"\t]*|[ ]*"(?:[^"]|"")*"[ ]*)(?:\t(?:[^"\t]*|[ ]*"(?:[^"]|"")*"[ ]*))*') END AS quoted_well FROM b),
-c AS (SELECT *, string_split(array_to_string(list_transform(list_zip(string_split(text, '"'), range(len(string_split(text, '"')))), lambda x: CASE WHEN x[2] % 2 = 1 THEN replace(x[1], d, chr(1)) ELSE x[1] END), ''), d) AS cells FROM q),
+c AS (SELECT *, string_split(array_to_string(list_transform(list_zip(string_split(text, '"'), range(len(string_split(text, '"')))), lambda x: CASE WHEN x[2] % 2 = 1 THEN replace(x[1], d, chr(1)) WHEN x[1] = '' AND x[2] > 0 AND x[2] < len(string_split(text, '"')) - 1 THEN chr(2) ELSE x[1] END), ''), d) AS cells FROM q),
 e AS (SELECT file_id, line_no, quoted_well, len(cells) = len(names) AS fits, list_zip(names, cells) AS pairs, d FROM c),
 v AS (SELECT *, CASE WHEN quoted_well AND fits THEN list_bool_and(list_transform(pairs, lambda p: CASE WHEN trim(p[1]) = 'note' THEN true
 WHEN trim(p[1]) = 'ts' THEN regexp_full_match(trim(p[2], ' ' || chr(9)), '[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[ T]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?') AND try_cast(substr(trim(p[2], ' ' || chr(9)), 1, 10) AS DATE) IS NOT NULL
 WHEN trim(p[2], ' ' || chr(9)) IN ('', 'NA', 'NaN') THEN true
 WHEN trim(p[1]) = 'status' THEN regexp_full_match(trim(p[2], ' ' || chr(9)), '[+-]?[0-9]+')
 WHEN d = ';' THEN regexp_full_match(trim(p[2], ' ' || chr(9)), '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?')
-ELSE regexp_full_match(trim(p[2], ' ' || chr(9)), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') END)) END AS valid FROM e)
-SELECT file_id, line_no, CASE WHEN NOT quoted_well THEN 'quoting' WHEN NOT fits THEN 'columns' ELSE 'value' END AS reason FROM v WHERE NOT quoted_well OR NOT fits OR NOT valid"""
-SQL = {"p3_found": _P3, "p4_found": _P4}
+ELSE regexp_full_match(trim(p[2], ' ' || chr(9)), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') END)) END AS valid FROM e)"""
+_P4 = _LINES + """ SELECT file_id, line_no, CASE WHEN NOT quoted_well THEN 'quoting' WHEN NOT fits THEN 'columns' ELSE 'value' END AS reason FROM v WHERE NOT quoted_well OR NOT fits OR NOT valid"""
+_P4_LOADED = _LINES + """, good AS (SELECT file_id, line_no, d, unnest(list_zip(pairs, range(1, len(pairs) + 1))) AS p FROM v WHERE quoted_well AND fits AND valid),
+cells AS (SELECT file_id, line_no, CAST(p[2] AS INTEGER) AS position, lower(trim(p[1][1])) AS "column", trim(replace(replace(p[1][2], chr(1), d), chr(2), '"'), ' ' || chr(9)) AS value FROM good)
+SELECT file_id, line_no, position, "column", CASE WHEN value NOT IN ('', 'NA', 'NaN') THEN value END AS value FROM cells"""
+SQL = {"p3_found": _P3, "p4_found": _P4, "p4_loaded": _P4_LOADED}

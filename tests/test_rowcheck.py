@@ -38,7 +38,18 @@ def test_file_without_header_empty_table_and_repeated_rows(spark):
 def test_clean_rows_are_the_rest(spark):
     df = spark.createDataFrame([("f", 1, "ts,a,note", "", 0), ("f", 2, '2022-01-01 00:00,NA,"x, ""y"""', "", 0), ("f", 3, "bad", "", 0)], RAW)
     got = rowcheck.clean_lines(df).collect()
-    assert [(r.line_no, r["values"]) for r in got] == [(2, {"ts": "2022-01-01 00:00", "a": None, "note": 'x, "y"'})]
+    assert [(r.line_no, [tuple(v) for v in r["values"]]) for r in got] == [(2, [("ts", "2022-01-01 00:00"), ("a", None), ("note", 'x, "y"')])]
+    cells = sorted(tuple(r) for r in rowcheck.loaded_cells(df).collect())
+    assert cells == [("f", 2, 1, "ts", "2022-01-01 00:00"), ("f", 2, 2, "a", None), ("f", 2, 3, "note", 'x, "y"')]
+
+
+def test_a_header_that_repeats_a_name_and_one_large_file(spark):
+    df = spark.createDataFrame([("f", 1, "ts,a,a", "", 0), ("f", 2, "2022-01-01 00:00,1,2", "", 0), ("f", 3, "2022-01-31 00:00,1,x", "", 0)], RAW)
+    assert [[tuple(v) for v in r["values"]] for r in rowcheck.clean_lines(df).collect()] == [[("ts", "2022-01-01 00:00"), ("a", "1"), ("a", "2")]]
+    many = spark.range(2, 5002).selectExpr("'g' AS file_id", "CAST(id AS INT) AS line_no", "concat('2022-01-01 00:00,', if(id % 50 = 0, 'x', '1')) AS line", "'' AS cells", "0 AS reason")
+    big = df.unionByName(spark.createDataFrame([("g", 1, "ts,a", "", 0)], RAW)).unionByName(many)
+    assert rowcheck.bad_lines(big).groupBy("file_id").count().sort("file_id").collect() == [("f", 1), ("g", 100)]
+    assert rowcheck.clean_lines(big).count() == 1 + 4900
 
 
 def test_cells_as_the_csv_module_reads_them(spark):
@@ -100,5 +111,5 @@ def test_quoting_as_a_state_machine_tells(spark):
 def test_clean_rows_without_file_or_number(spark):
     lines = [("f", 1, "ts,a"), ("f", None, "2022-01-01 00:00,1"), ("f", None, "2022-01-01 00:00,x"), ("f", 2, "2022-01-01 00:00,2"), (None, 1, "ts,a"), (None, 2, "2022-01-01 00:00,3")]
     df = spark.createDataFrame([(*r, "", 0) for r in lines], RAW)
-    assert sorted((str(r.line_no), r["values"]["a"]) for r in rowcheck.clean_lines(df).collect()) == [("2", "2"), ("None", "1")]
+    assert sorted((str(r.line_no), r["values"][1].value) for r in rowcheck.clean_lines(df).collect()) == [("2", "2"), ("None", "1")]
     assert {(r.file_id, r.line_no, r.reason) for r in rowcheck.bad_lines(df).collect()} == {("f", None, "value"), (None, 2, "columns")}
