@@ -9,7 +9,9 @@ flagged readings leave Python.
 Defined results
 * null and NaN readings are no cases and don't part a run; infinite ones are
   impossible; rows without a time or ``row_id`` are ignored;
-* a row delivered twice is judged twice and counts twice in a run;
+* a row delivered twice is judged twice and counts twice in a run; of several readings in
+  one slot of the time of day all count, by their median;
+* neighbouring readings more than a day away are no neighbours;
 * a source of one day has no other days to be measured by: only its own
   neighbouring readings, runs and bounds count;
 * equal times are met in the order of ``row_id``; null site or sensor is a source;
@@ -28,17 +30,18 @@ from pyspark.sql import functions as F
 from sunloom.kernels import hampel
 from sunloom.session import ship
 
-#: Days of a block and of its margins, for power readings and for weekly fits.
-POWER_BLOCK, POWER_MARGIN = 28, 8
-FIT_BLOCK, FIT_MARGIN = 728, 84
+#: Days of a block and of its margins, for power readings and for weekly fits.  The margins hold all days that a
+#: result looks at (of fits, with a quarter of the weeks missing), so it does not matter where blocks start.
+POWER_BLOCK, POWER_MARGIN = 56, hampel.LOOKS_DAYS + 1
+FIT_BLOCK, FIT_MARGIN = 1092, 7 * (hampel.FIT_SPAN + hampel.FIT_AROUND) * 4 // 3
 #: Fields by code, with the table that each comes from.
 FIELDS = (("measurements", "meas_val_f"), ("pvpro_results", "p_mp"), ("pvpro_results", "v_oc"))
 _FLAG_SCHEMA = "field_no int, row_id long"
 
 
-def _blocks(df: DataFrame, field: Column, value: Column, source: list[str], days: int, margin: int) -> DataFrame:
-    """(gid, block, core, t, v, field_no, row_id): each reading in its block and in those whose margin it is in."""
-    day = F.unix_date(F.to_date("ts"))
+def _blocks(df: DataFrame, field: Column, value: Column, source: list[str], days: int, margin: int, origin: int = 0) -> DataFrame:
+    """(gid, block, core, t, v, field_no, row_id): each reading in its block and in those whose margin it is in; a block starts at day ``origin``."""
+    day = F.unix_date(F.to_date("ts")) - origin
     own = F.floor(day / days)
     near = F.array_distinct(F.array(F.floor((day - margin) / days), own, F.floor((day + margin) / days)))
     kept = df.filter(F.col("ts").isNotNull() & F.col("row_id").isNotNull()).select(
@@ -92,13 +95,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flagged([np.concatenate([k[i] for k in kept]) for i in range(len(names))])
 
 
-def flag_readings(measurements: DataFrame | None, fits: DataFrame | None) -> DataFrame:
+def flag_readings(measurements: DataFrame | None, fits: DataFrame | None, origin: int = 0) -> DataFrame:
     """(tab, row_id, field) of each reading that its source can't have measured."""
     parts = []
     if measurements is not None:
-        parts.append(_blocks(measurements, F.lit(0), F.col("meas_val_f"), ["site", "sensor"], POWER_BLOCK, POWER_MARGIN))
+        parts.append(_blocks(measurements, F.lit(0), F.col("meas_val_f"), ["site", "sensor"], POWER_BLOCK, POWER_MARGIN, origin))
     if fits is not None:
-        parts += [_blocks(fits, F.lit(i), F.col(c), ["site", "system"], FIT_BLOCK, FIT_MARGIN) for i, c in ((1, "p_mp"), (2, "v_oc"))]
+        parts += [_blocks(fits, F.lit(i), F.col(c), ["site", "system"], FIT_BLOCK, FIT_MARGIN, origin) for i, c in ((1, "p_mp"), (2, "v_oc"))]
     blocks = parts[0]
     for p in parts[1:]:
         blocks = blocks.unionByName(p)

@@ -80,6 +80,37 @@ def test_operator_over_blocks_against_one_call(spark):
     assert got == {("measurements", i, "meas_val_f") for i in want | {10_003}} | {("pvpro_results", 9, "p_mp"), ("pvpro_results", 4, "v_oc")}
 
 
+def test_it_does_not_matter_where_blocks_start(spark):
+    rng = np.random.default_rng(8)
+    start, data, fits = datetime(2022, 1, 1), [], []
+    for sensor, kind in (("a", {}), ("b", {"ceiling": 600.0}), ("c", {"cut": 60})):
+        t, v = days(rng, n=130, step=30, **kind)
+        noon = np.flatnonzero(np.abs(t % 1440 - 720) < 180)
+        for i, f in zip(rng.choice(noon, 60, replace=False), np.tile([4, 7, 0.02, 0.01, -1, 300], 10)):
+            v[i] = np.round(max(v[i], 200) * f, 1)
+        for k in range(8):
+            a = noon[int(rng.integers(0, len(noon) - 12))]
+            v[a : a + 6] = 321.7
+        gone = rng.random(len(t)) < 0.1
+        data += [(len(data) + i, start + timedelta(minutes=float(m)), "s", sensor, float(x), "", 1) for i, (m, x) in enumerate(zip(t[~gone], v[~gone]))]
+    for w in range(400):
+        fits.append((w, start + timedelta(days=7 * w), "s", "a", float(100 + rng.normal() + (40 if w % 37 == 0 else 0)), float(30 - w / 100 + rng.normal() / 10), 1))
+    m, f = spark.createDataFrame(data, M).cache(), spark.createDataFrame(fits, P)
+    got = [{(r.field, r.row_id) for r in spikes.flag_readings(m, f, origin).collect()} for origin in (0, 13, 31)]
+    assert got[0] == got[1] == got[2]
+    assert sum(1 for x, _ in got[0] if x == "meas_val_f") > 150 and {i for x, i in got[0] if x == "p_mp"} >= {w for w in range(400) if w % 37 == 0}
+
+
+def test_all_readings_of_a_slot_count():
+    t, v = days(np.random.default_rng(9), step=5)
+    t, v = np.repeat(t, 3) + np.tile([0.0, 0.1, 0.2], len(t)), np.repeat(v, 3)
+    # The last reading of each slot is a poor one; the two others tell what is usual.
+    v[2::3] = np.where(v[2::3] > 0, 1.0, v[2::3])
+    got = hampel.power_flags((t * 60e6).astype(np.int64), v)
+    noon = np.abs(t % 1440 - 720) < 120
+    assert got[2::3][noon[2::3]].mean() > 0.95 and got[0::3].sum() == got[1::3].sum() == 0
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rng = np.random.default_rng(5)
     t, v = days(rng, n=8)
