@@ -9,7 +9,8 @@ pre-order, so no pairs of nodes are formed.
 
 Defined results
 * null, empty, truncated or otherwise unreadable bodies, bodies that are JSON
-  but no object, and bodies nested deeper than the JSON reader goes: no rows;
+  but no object, and bodies nested deeper than the JSON reader goes: no rows in
+  the flat tables, one row with the reason in ``rejected_bodies``;
 * parts that are absent or null: no rows; a part that is JSON text is read as
   if it stood there itself;
 * a collection may be a list, an object keyed by name, or a single element;
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunloom.session import ship
+from sunloom.session import cut_lineage, ship
 
 NODE_SCHEMA = (
     "json_id long, body_no long, entity string, pre int, post int, depth int, position int, "
@@ -68,13 +69,23 @@ def _members(entity: str, value) -> list[tuple[str | None, object]]:
     return []
 
 
+def read_body(body: str | None) -> tuple[dict | None, str | None]:
+    """(root object, None), or (None, reason) of a body that has none."""
+    if body is None or not body.strip():
+        return None, "empty"
+    try:
+        root = json.loads(body)
+    except RecursionError:
+        return None, "too deep"
+    except ValueError:
+        return None, "no JSON"
+    return (root, None) if isinstance(root, dict) else (None, "no object")
+
+
 def label_body(body: str | None, with_attrs: bool = True) -> list[tuple]:
     """The typed nodes of one body: (entity, pre, post, depth, position, ident, number, attrs)."""
-    try:
-        root = json.loads(body) if body else None
-    except (ValueError, RecursionError):
-        return []
-    if not isinstance(root, dict):
+    root, reason = read_body(body)
+    if reason:
         return []
     rows: list[list] = []
     pre = post = 0
@@ -193,28 +204,45 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def flatten_sites(bodies: DataFrame, id_col: str = "json_id", body_col: str = "body") -> dict[str, DataFrame]:
-    """One flat table for each entity type, linked by ``parent_key`` and by interval labels."""
+def rejected_bodies(bodies: DataFrame, id_col: str = "json_id", body_col: str = "body") -> DataFrame:
+    """(json_id, reason) of each body that gives no rows because it can't be read: empty, no JSON, no object, too deep."""
+
+    def reasons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reason = [read_body(b)[1] for b in batch.body]
+            yield batch.assign(reason=reason).loc[[r is not None for r in reason], ["json_id", "reason"]]
+
+    ship(bodies.sparkSession)
+    return bodies.select(F.col(id_col).cast("long").alias("json_id"), F.col(body_col).cast("string").alias("body")).mapInPandas(reasons, "json_id long, reason string")
+
+
+#: Fields of an entity's own table; all other fields that a record has are in ``attrs``.
+FIELDS = {
+    "site": ("location", "longitude", "latitude"),
+    "mount": ("tilt", "azimuth"),
+    "inverter": ("inverter_id",),
+    "string": ("string_id", "fuse_a"),
+    "module": ("serial", "wp"),
+}
+NUMBERS = {"longitude", "latitude", "tilt", "azimuth", "fuse_a", "wp"}
+
+
+def _field(name: str):
+    return (F.col("attrs")[name].try_cast("double") if name in NUMBERS else F.col("attrs")[name]).alias(name)
+
+
+def flat_rows(bodies: DataFrame, id_col: str = "json_id", body_col: str = "body") -> DataFrame:
+    """The rows of all entities under one another, in one pass: keys, interval labels, each entity's fields (null for the others) and ``attrs`` with all fields."""
     nodes = link_nodes(site_nodes(bodies, id_col, body_col))
-    fields = {
-        "site": ("location", "longitude", "latitude"),
-        "mount": ("tilt", "azimuth"),
-        "inverter": ("inverter_id",),
-        "string": ("string_id", "fuse_a"),
-        "module": ("serial", "wp"),
-    }
-    numbers = {"longitude", "latitude", "tilt", "azimuth", "fuse_a", "wp"}
-    return {
-        entity: nodes.filter(F.col("entity") == entity).select(
-            "json_id",
-            "entity_key",
-            "parent_key",
-            "pre",
-            "post",
-            *[(F.col("attrs")[c].try_cast("double") if c in numbers else F.col("attrs")[c]).alias(c) for c in names],
-        )
-        for entity, names in fields.items()
-    }
+    names = dict.fromkeys(n for fields in FIELDS.values() for n in fields)
+    return nodes.select("json_id", "entity", "entity_key", "parent_key", "pre", "post", *[_field(n) for n in names], "attrs")
+
+
+def flatten_sites(bodies: DataFrame, id_col: str = "json_id", body_col: str = "body") -> dict[str, DataFrame]:
+    """One flat table for each entity type, linked by ``parent_key`` and by interval labels; the bodies are labelled once for all of them."""
+    rows = cut_lineage(flat_rows(bodies, id_col, body_col))
+    keys = ("json_id", "entity_key", "parent_key", "pre", "post")
+    return {entity: rows.filter(F.col("entity") == entity).select(*keys, *names, "attrs") for entity, names in FIELDS.items()}
 
 
 def found(bodies: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunloom.operators.clocks import latest_metadata
+from sunloom.session import cut_lineage
 
 STEPS = (5, 10, 15, 30, 60)
 FEW = 8
@@ -126,7 +127,8 @@ def carried_shards(summaries: DataFrame, grids: DataFrame) -> DataFrame:
 
 
 def _shards_with_state(df: DataFrame, meta: DataFrame, with_values: bool) -> DataFrame:
-    days = shards(df, with_values)
+    # Summaries and filling both read the shards; the readings are read and grouped once.
+    days = cut_lineage(shards(df, with_values))
     summaries = shard_summaries(days, with_values)
     carried = carried_shards(summaries, source_grids(summaries, meta))
     own = days.select(*[F.col(c).alias(f"d_{c}") for c in (*SOURCE, "day")], "times")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +14,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat tables of all entities with their attributes under one another, by ``entity``."""
-    flat = nested.flatten_sites(table(spark, folder, "site_json"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn("entity", F.lit(k)) for k, t in flat.items()])
+    """The flat tables of all entities under one another, by ``entity``; all their attributes as JSON."""
+    return nested.flat_rows(table(spark, folder, "site_json")).withColumn("attrs", F.to_json("attrs"))
+
+
+def p1_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies that can't be read, with the reason."""
+    return nested.rejected_bodies(table(spark, folder, "site_json"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,10 +35,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return rowcheck.bad_lines(table(spark, folder, "raw_lines"))
 
 
-def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return rowcheck.clean_lines(table(spark, folder, "raw_lines"))
-
-
 def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The valid rows, one row a cell."""
     return rowcheck.loaded_cells(table(spark, folder, "raw_lines"))
@@ -51,7 +49,7 @@ def p5_times(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.utc_times(table(spark, folder, "clock_log"), table(spark, folder, "system_metadata"), table(spark, folder, "zone_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p4_found, p4_clean, p4_loaded, p5_found, p5_times)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_rejected, p2_found, p3_found, p4_found, p4_loaded, p5_found, p5_times)}
 
 #: Step of each source as the nearest to the middle distance of its readings within a day, then all grid points without a reading.
 _P3 = """WITH raw AS (SELECT site, sensor, ts, CAST(ts AS DATE) AS day, CAST(epoch_ms(ts) - epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS BIGINT) AS ms,
@@ -88,4 +86,6 @@ _P4 = _LINES + """ SELECT file_id, line_no, CASE WHEN NOT quoted_well THEN 'quot
 _P4_LOADED = _LINES + """, good AS (SELECT file_id, line_no, d, unnest(list_zip(pairs, range(1, len(pairs) + 1))) AS p FROM v WHERE quoted_well AND fits AND valid),
 cells AS (SELECT file_id, line_no, CAST(p[2] AS INTEGER) AS position, lower(trim(p[1][1])) AS "column", trim(replace(replace(p[1][2], chr(1), d), chr(2), '"'), ' ' || chr(9)) AS value FROM good)
 SELECT file_id, line_no, position, "column", CASE WHEN value NOT IN ('', 'NA', 'NaN') THEN value END AS value FROM cells"""
-SQL = {"p3_found": _P3, "p4_found": _P4, "p4_loaded": _P4_LOADED}
+_P1_REJECTED = """SELECT json_id, CASE WHEN body IS NULL OR trim(body, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'no JSON' ELSE 'no object' END AS reason
+FROM site_json WHERE body IS NULL OR NOT json_valid(body) OR json_type(body) <> 'OBJECT'"""
+SQL = {"p1_rejected": _P1_REJECTED, "p3_found": _P3, "p4_found": _P4, "p4_loaded": _P4_LOADED}
