@@ -2,7 +2,7 @@
 
 Input is ``obs(system_id, day, slot, value)`` with ``m`` slots a day.  All of it is
 aggregation and windows within a day; statistics of a whole system are joined back as
-small rows.
+small rows, which callers that have them pass as ``quantiles``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.operators import ranks
+
 KEYS = ["system_id"]
 
 
@@ -19,22 +21,20 @@ def _day():
 
 
 def system_quantiles(obs: DataFrame) -> DataFrame:
-    """(system_id, capacity, q99, q05, low): exact quantiles with linear interpolation, nulls left out."""
-    q = F.percentile("value", F.array(F.lit(0.95), F.lit(0.99), F.lit(0.05)))
-    return obs.groupBy(*KEYS).agg(q.alias("q"), F.min("value").alias("low")).select(
-        *KEYS, F.col("q")[0].alias("capacity"), F.col("q")[1].alias("q99"), F.col("q")[2].alias("q05"), "low"
-    )
+    """(system_id, capacity, q99, q05, low): exact quantiles with linear interpolation and the least value, nulls left out; systems without values have no row."""
+    q = ranks.quantiles(obs, KEYS, "value", {"capacity": 0.95, "q99": 0.99, "q05": 0.05, "low": 0.0})
+    return q.select(*KEYS, "capacity", "q99", "q05", "low")
 
 
-def sunny(obs: DataFrame, threshold: float = 0.005) -> DataFrame:
+def sunny(obs: DataFrame, threshold: float = 0.005, quantiles: DataFrame | None = None) -> DataFrame:
     """obs with ``sun``: whether a value is above the threshold, scaled by the system's range."""
-    q = system_quantiles(obs).select(*KEYS, "q99", F.greatest("low", -0.005 * F.col("q99")).alias("floor"))
+    q = (quantiles or system_quantiles(obs)).select(*KEYS, "q99", F.greatest("low", -0.005 * F.col("q99")).alias("floor"))
     return obs.join(q, KEYS).withColumn("sun", F.coalesce((F.col("value") - F.col("floor")) / F.col("q99") > threshold, F.lit(False))).drop("q99", "floor")
 
 
-def daytime(obs: DataFrame, threshold: float = 0.1) -> DataFrame:
+def daytime(obs: DataFrame, threshold: float = 0.1, quantiles: DataFrame | None = None) -> DataFrame:
     """obs with ``daytime``: values from the threshold on, scaled by the 5 and 95 % quantiles."""
-    q = system_quantiles(obs).select(*KEYS, "capacity", "q05")
+    q = (quantiles or system_quantiles(obs)).select(*KEYS, "capacity", "q05")
     scaled = (F.col("value") - F.col("q05")) / F.nullif(F.col("capacity") - F.col("q05"), F.lit(0.0))
     return obs.join(q, KEYS).withColumn("daytime", F.coalesce(scaled >= threshold, F.lit(False))).drop("capacity", "q05")
 
@@ -69,9 +69,9 @@ def interpolate_days(obs: DataFrame, value: str = "value") -> DataFrame:
     return marked.withColumn("filled", F.coalesce(F.col(value), line, end)).drop("l", "r")
 
 
-def daily_scores(obs: DataFrame, m: int) -> DataFrame:
+def daily_scores(obs: DataFrame, m: int, quantiles: DataFrame | None = None) -> DataFrame:
     """(system_id, day, density, energy, smoothness, top, missing_share, is_missing): one pass of aggregation over windows of the day."""
-    cap = system_quantiles(obs).select(*KEYS, "capacity")
+    cap = (quantiles or system_quantiles(obs)).select(*KEYS, "capacity")
     bend = F.abs(F.lag("value").over(_day()) - 2 * F.col("value") + F.lead("value").over(_day()))
     v = F.coalesce("value", F.lit(0.0))
     return (
@@ -94,9 +94,9 @@ def smoothness(scores: DataFrame) -> DataFrame:
     return scores.withColumn("smoothness", 1 - F.col("bends") / F.nullif(F.max("bends").over(Window.partitionBy(*KEYS)), F.lit(0.0)))
 
 
-def linearity(obs: DataFrame, m: int) -> DataFrame:
+def linearity(obs: DataFrame, m: int, quantiles: DataFrame | None = None) -> DataFrame:
     """(system_id, day, step, n, linearity): the most frequent first difference of a day, rounded to 4 digits; values under .005 of capacity left out, of equal counts the smallest step."""
-    cap = system_quantiles(obs).select(*KEYS, "capacity")
+    cap = (quantiles or system_quantiles(obs)).select(*KEYS, "capacity")
     lit = obs.join(cap, KEYS).withColumn("v", F.when(F.col("value") >= 0.005 * F.col("capacity"), F.col("value")))
     steps = lit.withColumn("step", F.bround(F.col("v") - F.lag("v").over(_day()), 4)).filter("step IS NOT NULL")
     counts = steps.groupBy(*KEYS, "day", "step").agg(F.count("*").alias("n"))
@@ -129,9 +129,9 @@ def clear_weights(scores: DataFrame, smooth: str = "tc", energy: str = "de") ->
 
 def iqr_filter(df: DataFrame, keys: list[str], value: str, width: float = 1.5) -> DataFrame:
     """Rows whose value lies within ``width`` interquartile ranges of the quartiles of its group."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    span = width * (F.col("q")[1] - F.col("q")[0])
-    return df.join(q, keys).filter(F.col(value).between(F.col("q")[0] - span, F.col("q")[1] + span)).drop("q")
+    q = ranks.quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}).drop("n")
+    span = width * (F.col("_q3") - F.col("_q1"))
+    return df.join(q, keys).filter(F.col(value).between(F.col("_q1") - span, F.col("_q3") + span)).drop("_q1", "_q3")
 
 
 def clip_scores(obs: DataFrame) -> DataFrame:

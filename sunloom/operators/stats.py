@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import factorial, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunloom.operators import ranks
+
 
 def subset_sums(df: DataFrame, keys: list[str], factors: list[str], base: str) -> DataFrame:
     """(keys, s_0, s_1, ...): for each set of factors (bit i: factor i) the sum of ``base`` times the set's factors, in one aggregation."""
@@ -57,14 +60,9 @@ def circular_histogram(df: DataFrame, keys: list[str], day_of_year: str, bins: i
     return df.groupBy(*keys, F.least(F.floor(angle / (2 * pi / bins)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def unbiased_quantile(values: Column, q: float) -> Column:
-    """Approximately median-unbiased quantile of a sorted array of doubles (plotting positions (k - 1/3) / (n + 1/3))."""
-    n = F.size(values)
-    h = (n + 1.0 / 3.0) * q + 1.0 / 3.0
-    k = F.least(F.greatest(F.floor(h), F.lit(1)), n).cast("int")
-    part = F.least(F.greatest(h - k, F.lit(0.0)), F.lit(1.0))
-    low, high = F.get(values, k - 1), F.get(values, F.least(k + 1, n) - 1)
-    return F.when(n > 0, low + part * (high - low))
+def unbiased_quantile(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """(keys, n, <name>...): approximately median-unbiased quantiles of groups of any size."""
+    return ranks.quantiles(df, keys, value, levels, unbiased=True)
 
 
 def regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -78,13 +76,22 @@ def regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def best_sensor(scores: DataFrame, keys: list[str], sensor: str = "sensor") -> DataFrame:
-    """The sensor of highest correlation in each group, of equal ones the first by name."""
-    best = F.max_by(F.struct(sensor, "corr", "rmse"), F.struct(F.col("corr"), (-F.xxhash64(sensor)).alias("h")))
+    """The sensor of highest correlation in each group, of equal ones the first by name; null correlations come last."""
+    best = F.min_by(F.struct(sensor, "corr", "rmse"), F.struct(F.col("corr").isNull().alias("none"), (-F.col("corr")).alias("c"), F.col(sensor).alias("name")))
     return scores.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def binned(df: DataFrame, x: str, y: str, value: str, dx: float, dy: float, how: str = "avg") -> DataFrame:
-    """(bx, by, value, n): an aggregate by cells of two rounded coordinates, rows without either left out."""
+def binned(df: DataFrame, x: str, y: str, value: str, dx: float, dy: float, how: str | Column | Callable[[Column], Column] = "avg") -> DataFrame:
+    """(bx, by, value, n): an aggregate by cells of two rounded coordinates, rows without either left out.
+
+    ``how`` is the name of an aggregate, an aggregate column, or a function from the value's
+    column to one: built of columns, or a pandas aggregate (``functions.pandas_udf``).
+    """
     cell = lambda c, d: F.lit(d) * F.bround(F.col(c) / d)
-    f = getattr(F, how)
-    return df.dropna(subset=[x, y]).groupBy(cell(x, dx).alias("bx"), cell(y, dy).alias("by")).agg(f(value).alias("value"), F.count("*").alias("n"))
+    f = getattr(F, how)(value) if isinstance(how, str) else how if isinstance(how, Column) else how(F.col(value))
+    by = df.dropna(subset=[x, y]).groupBy(cell(x, dx).alias("bx"), cell(y, dy).alias("by"))
+    count = by.agg(F.count("*").alias("n"))
+    if isinstance(how, str) or isinstance(how, Column):
+        return by.agg(f.alias("value"), F.count("*").alias("n"))
+    # Pandas aggregates don't mix with others, so the counts are joined by cell.
+    return by.agg(f.alias("value")).join(count, ["bx", "by"]).select("bx", "by", "value", "n")

@@ -12,6 +12,10 @@ from sunloom.operators.timeaxis import first_of_each_time
 from sunloom.session import spread
 
 
+#: Characters of an error's text that are kept.
+ERROR_CHARS = 100_000
+
+
 def long_to_wide(df: DataFrame, index: list[str], name: str, value: str, names: list[str], order: list[str]) -> DataFrame:
     """One column for each of the given names; of several values the first in order.  The names are given, so no pass looks for them."""
     first = first_of_each_time(df.select(*index[:-1], index[-1], name, value, *[c for c in order if c not in (*index, name, value)]), [*index[:-1], name], order, index[-1])
@@ -34,9 +38,9 @@ def with_day_flag(df: DataFrame, days: DataFrame, keys: list[str], flag: str, ts
 
 
 def resample(df: DataFrame, keys: list[str], ts: str, every: str, aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregates over windows of fixed length: (keys, start, ...)."""
+    """Aggregates over windows of fixed length: (keys, start, ...).  An aggregate is any column: built in, or a pandas aggregate of the user's (all of them then)."""
     w = F.window(F.col(ts), every)
-    return df.groupBy(*keys, w.alias("w")).agg(*[a.alias(n) for n, a in aggregates.items()]).select(*keys, F.col("w.start").alias("start"), *aggregates)
+    return df.groupBy(*keys, w["start"].alias("start")).agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
 def not_done(keys: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
@@ -94,7 +98,7 @@ def apply_by_system(df: DataFrame, keys: list[str], kernel: Callable, schema: st
         except Exception as e:  # noqa: BLE001 - one system's failure must not end the others
             row = {n.strip(): [None] for n in names}
             row |= {k: [pdf[k].iloc[0]] for k in keys}
-            row["error"] = [f"{type(e).__name__}: {e}"[:300]]
+            row["error"] = [f"{type(e).__name__}: {e}"[:ERROR_CHARS]]
             return pd.DataFrame(row)
 
     return spread(df, *keys).groupBy(*keys).applyInPandas(run, schema)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunloom.session import ship
+
 
 def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, run, start, length, value): maximal runs of equal values in order; nulls equal each other."""
@@ -77,23 +82,86 @@ def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, half: i
     return raw.withColumn("mean", F.coalesce(forward, back)).drop("_m")
 
 
-def two_state_labels(df: DataFrame, keys: list[str], order: str, cost_out: str, cost_in: str, change: float) -> DataFrame:
+def _walk(batches: Iterator[pa.RecordBatch], groups: list[str], change: float, summary: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in order, group by group: labels, or of each group the map from the state before it to the one after it.
+
+    The state is the cost inside less the cost outside.  A row with the costs' difference d
+    takes state s to clip(s, -change, change) + d; rows together take s to clip(s, low, high) + move.
+    """
+    before: tuple | None = None
+    state, low, high, move = 0.0, float("-inf"), float("inf"), 0.0
+
+    def summed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * (len(groups) + 3)
+        arrays = [pa.array(c, t) for c, t in zip(columns, [*key_types, *[pa.float64()] * 3])]
+        return pa.RecordBatch.from_arrays(arrays, [*groups, "low", "high", "move"])
+
+    key_types: list[pa.DataType] = []
+    for batch in batches:
+        key_types = [batch.schema.field(g).type for g in groups]
+        keys = list(zip(*(batch.column(g).to_pylist() for g in groups)))
+        starts = batch.column("start").to_pylist()
+        out: list = []
+        for key, start, d in zip(keys, starts, batch.column("d").to_pylist()):
+            if key != before:
+                if summary and before is not None:
+                    out.append((*before, low, high, move))
+                before, state, low, high, move = key, start, float("-inf"), float("inf"), 0.0
+            if summary:
+                low, high, move = min(max(-change - move, low), high), min(max(change - move, low), high), move + d
+            else:
+                state = min(max(state, -change), change) + d
+                out.append(state < 0)
+        if summary:
+            yield summed(out)
+        else:
+            kept = [c for c in batch.schema.names if c not in ("start", "d")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.bool_())], [*kept, "inside"])
+    if summary and before is not None:
+        yield summed([(*before, low, high, move)])
+
+
+def two_state_labels(df: DataFrame, keys: list[str], order: str, cost_out: str, cost_in: str, change: float, shard: str | None = None) -> DataFrame:
     """(keys, order, inside): labels by the forward costs of a two-state dynamic program, without going back.
 
-    Costs per row are given for both states; a change costs ``change``.  The forward cost
-    of a state is the running minimum over prefixes, which one ``aggregate`` over a
-    shard's sorted rows computes; equal costs are outside.
+    Costs per row are given for both states; a change costs ``change``; equal costs are
+    outside; a null cost counts as 0.  With ``shard``, a column that rises with the order (a
+    day), each shard is reduced to the map that it makes of the state before it, the maps
+    are composed over one small row a shard, and all shards are labelled for themselves, so
+    a source with very many rows spreads over as many tasks as it has shards.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(cost_out).alias("a"), F.col(cost_in).alias("b"))
-    sorted_rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast("array<boolean>").alias("labels"))
-
-    def step(s: Column, r: Column) -> Column:
-        x = F.least(s["x"], s["y"] + change) + r["a"]
-        y = F.least(s["y"], s["x"] + change) + r["b"]
-        return F.struct(x.alias("x"), y.alias("y"), F.array_append(s["labels"], y < x).alias("labels"))
-
-    labelled = sorted_rows.withColumn("labels", F.aggregate("rows", start, step)["labels"])
-    return labelled.select(*keys, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["o"]).alias("o"), F.col("labels").alias("l"))).alias("z")).select(
-        *keys, F.col("z.o").alias(order), F.col("z.l").alias("inside")
-    )
+    ship(df.sparkSession)
+    groups = [*keys, *([shard] if shard else [])]
+    d = F.coalesce(F.col(cost_in).cast("double"), F.lit(0.0)) - F.coalesce(F.col(cost_out).cast("double"), F.lit(0.0))
+    rows = df.select(*dict.fromkeys([*groups, order]), d.alias("d"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = lambda names, more: ", ".join([*(f"`{n}` {types[n]}" for n in names), more])
+    kept = list(dict.fromkeys([*groups, order]))
+
+    def labels(ready: DataFrame) -> DataFrame:
+        ordered = ready.repartition(*groups).sortWithinPartitions(*groups, order).select(*kept, "start", "d")
+        return ordered.mapInArrow(lambda b: _walk(b, groups, change, False), schema(kept, "inside boolean")).select(*dict.fromkeys([*keys, *([shard] if shard in keys else []), order]), "inside")
+
+    if shard is None:
+        return labels(rows.withColumn("start", F.lit(0.0)))
+    by_shard = rows.withColumn("start", F.lit(0.0)).repartition(*groups).sortWithinPartitions(*groups, order).select(*groups, "start", "d")
+    maps = by_shard.mapInArrow(lambda b: _walk(b, groups, change, True), schema(groups, "low double, high double, move double"))
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, state = None, 0.0
+        for batch in batches:
+            starts = []
+            for key, low, high, move in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in ("low", "high", "move"))):
+                if key != before:
+                    before, state = key, 0.0
+                starts.append(state)
+                state = min(max(state, low), high) + move
+            yield pa.RecordBatch.from_arrays([*(batch.column(g) for g in groups), pa.array(starts, pa.float64())], [*groups, "start"])
+
+    states = maps.repartition(*keys).sortWithinPartitions(*groups).mapInArrow(compose, schema(groups, "start double"))
+    same = states.select(*[F.col(g).alias(f"_{g}") for g in groups], "start")
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    met = on[0]
+    for c in on[1:]:
+        met &= c
+    return labels(rows.join(same, met).select(*kept, "start", "d"))

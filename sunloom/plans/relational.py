@@ -27,7 +27,7 @@ _GRID = _OBS + """, span AS (SELECT system_id, min(day) AS a, max(day) AS b FROM
 slots AS (SELECT system_id, CAST(d.d AS DATE) AS day, CAST(s.s AS INTEGER) AS slot FROM span, generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY) AS d(d), generate_series(0, 23) AS s(s)),
 grid AS (SELECT slots.system_id, slots.day, slots.slot, CASE WHEN obs.slot % 7 <> 3 THEN value END AS value FROM slots LEFT JOIN obs USING (system_id, day, slot))"""
 _QUANT = "q AS (SELECT system_id, quantile_cont(value, 0.95) AS capacity, quantile_cont(value, 0.99) AS q99, quantile_cont(value, 0.05) AS q05, min(value) AS low FROM obs GROUP BY 1)"
-_DAILY = """rev AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(round(sum(o_totalprice) * 100) AS BIGINT) / 100.0 AS value FROM orders GROUP BY 1)"""
+_DAILY = """rev AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS day, CAST(round(sum(o_totalprice) * 100) AS BIGINT) / 100.0 AS value FROM orders GROUP BY 1, 2)"""
 
 
 def query(sql: str | None = None):
@@ -56,7 +56,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def revenue(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
-    return o.groupBy(F.to_date("o_orderdate").alias("day")).agg((F.round(F.sum("o_totalprice") * 100).cast("long") / 100.0).alias("value"))
+    return o.groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg((F.round(F.sum("o_totalprice") * 100).cast("long") / 100.0).alias("value"))
 
 
 def r(c, digits: int = 6):
@@ -366,16 +366,14 @@ def w_runs(spark, folder):
     return windows.runs(o, ["system_id"], "t", "high")
 
 
-@query(f"""WITH {_DAILY} SELECT day, round((value - lag(value, 365) OVER (ORDER BY day)) / nullif(value, 0), 6) AS change FROM rev""")
+@query(f"""WITH {_DAILY} SELECT k, day, round((value - lag(value, 365) OVER (PARTITION BY k ORDER BY day)) / nullif(value, 0), 6) AS change FROM rev""")
 def w_year_lag(spark, folder):
-    v = revenue(spark, folder).withColumn("k", F.lit(0))
-    return windows.lag_change(v, ["k"], "day", "value").select("day", r(F.col("change")).alias("change"))
+    return windows.lag_change(revenue(spark, folder), ["k"], "day", "value").select("k", "day", r(F.col("change")).alias("change"))
 
 
-@query(f"""WITH {_DAILY}, c AS (SELECT (value - lag(value, 365) OVER (ORDER BY day)) / nullif(value, 0) AS change FROM rev) SELECT round(100 * quantile_cont(change, 0.5), 6) AS rate FROM c""")
+@query(f"""WITH {_DAILY}, c AS (SELECT k, (value - lag(value, 365) OVER (PARTITION BY k ORDER BY day)) / nullif(value, 0) AS change FROM rev) SELECT k, round(100 * quantile_cont(change, 0.5), 6) AS rate FROM c GROUP BY 1""")
 def a_degradation_rate(spark, folder):
-    v = revenue(spark, folder).withColumn("k", F.lit(0))
-    return windows.degradation_rate(v, ["k"], "day", "value").select(r(F.col("rate")).alias("rate"))
+    return windows.degradation_rate(revenue(spark, folder), ["k"], "day", "value").select("k", r(F.col("rate")).alias("rate"))
 
 
 @query("""WITH m AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, max(floor(o_totalprice / 100000)) AS level FROM orders GROUP BY 1, 2),
@@ -394,11 +392,10 @@ def w_capacity_labels(spark, folder):
     return windows.capacity_labels(m, ["system"], "ts", "v").select("system", "ts", r(F.col("bucket"), 4).alias("bucket"), "label")
 
 
-@query(f"""WITH {_DAILY}, m AS (SELECT day, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS m FROM rev WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
-SELECT day, round(coalesce(last_value(m IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(m IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 3) AS mean FROM m""")
+@query(f"""WITH {_DAILY}, m AS (SELECT k, day, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS m FROM rev WINDOW w AS (PARTITION BY k ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT k, day, round(coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(m IGNORE NULLS) OVER (PARTITION BY k ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 3) AS mean FROM m""")
 def w_rolling_mean(spark, folder):
-    v = revenue(spark, folder).withColumn("k", F.lit(0))
-    return windows.rolling_mean(v, ["k"], "day", "value", 3).select("day", r(F.col("mean"), 3).alias("mean"))
+    return windows.rolling_mean(revenue(spark, folder), ["k"], "day", "value", 3).select("k", "day", r(F.col("mean"), 3).alias("mean"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST(value < 20 AS INTEGER) AS b FROM events),
@@ -481,8 +478,8 @@ def a_circular_histogram(spark, folder):
 h AS (SELECT *, (n + 1.0 / 3.0) * 0.025 + 1.0 / 3.0 AS h FROM s)
 SELECT o_orderpriority, round(max(CASE WHEN k = CAST(floor(h) AS BIGINT) THEN x END) * (1 - (max(h) - floor(max(h)))) + max(CASE WHEN k = CAST(floor(h) AS BIGINT) + 1 THEN x END) * (max(h) - floor(max(h))), 4) AS q FROM h GROUP BY 1""")
 def a_unbiased_quantile(spark, folder):
-    o = table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_totalprice")).alias("x"))
-    return o.select("o_orderpriority", r(stats.unbiased_quantile(F.col("x"), 0.025), 4).alias("q"))
+    q = stats.unbiased_quantile(table(spark, folder, "orders"), ["o_orderpriority"], "o_totalprice", {"q": 0.025})
+    return q.select("o_orderpriority", r(F.col("q"), 4).alias("q"))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(corr(l_quantity, l_extendedprice), 8) AS corr,

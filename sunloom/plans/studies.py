@@ -132,17 +132,18 @@ def polar(obs: DataFrame, m: int, latitude: float, longitude: float, gmt_offset:
 def clear_times(obs: DataFrame, model: DataFrame, low: float = 0.75, high: float = 1.2, cost: float = 0.1, change: float = 4.0) -> DataFrame:
     """(system_id, day, slot, inside): times at which power follows the clear-sky model (system_id, day, slot, clear).
 
-    The dynamic program runs over a day at a time: at night both states cost the same, so
-    no state is carried over it.
+    One dynamic program over all times of a system, its days labelled for themselves once the
+    state that each starts with is known.
     """
     v, c = F.col("value"), F.col("clear")
     unknown = v.isNull() | c.isNull()
     near = v.between(low * c, high * c)
     rows = obs.join(model.select(*KEYS, "day", "slot", "clear"), [*KEYS, "day", "slot"], "left").select(
-        *KEYS, "day", F.col("slot").cast("long").alias("slot"),
+        *KEYS, "day", F.struct("day", F.col("slot").cast("long").alias("slot")).alias("at"),
         F.when(unknown, 1.0).when(near, 1.0).otherwise(cost).alias("out"), F.when(unknown, 1.0).when(near, cost).otherwise(1.0).alias("in"),
     )
-    return windows.two_state_labels(rows, [*KEYS, "day"], "slot", "out", "in", change)
+    labelled = windows.two_state_labels(rows, KEYS, "at", "out", "in", change, shard="day")
+    return labelled.select(*KEYS, "at.day", "at.slot", "inside")
 
 
 def performance_index(obs: DataFrame, model: DataFrame) -> DataFrame:
