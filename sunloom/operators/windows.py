@@ -108,7 +108,7 @@ def _walk(batches: Iterator[pa.RecordBatch], groups: list[str], change: float, s
                     out.append((*before, low, high, move))
                 before, state, low, high, move = key, start, float("-inf"), float("inf"), 0.0
             if summary:
-                low, high, move = min(max(-change - move, low), high), min(max(change - move, low), high), move + d
+                low, high, move = min(max(low, -change - move), change - move), min(max(high, -change - move), change - move), move + d
             else:
                 state = min(max(state, -change), change) + d
                 out.append(state < 0)
