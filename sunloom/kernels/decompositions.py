@@ -147,17 +147,22 @@ def _l1_steps(signal: np.ndarray, ok: np.ndarray, wide: np.ndarray, p: np.ndarra
 
 
 def _tridiagonal(main: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solution of a symmetric tridiagonal system for several right sides."""
+    """Solution of a symmetric positive definite tridiagonal system for several right sides, by odd-even reduction: every second unknown is eliminated at once."""
     n = len(main)
-    d, o, f = main.tolist(), off.tolist(), [0.0] * n
-    x = right.copy()
-    for i in range(1, n):
-        f[i] = o[i - 1] / d[i - 1]
-        d[i] -= f[i] * o[i - 1]
-        x[i] -= f[i] * x[i - 1]
-    x[-1] /= d[-1]
-    for i in range(n - 2, -1, -1):
-        x[i] = x[i] / d[i] - f[i + 1] * x[i + 1]
+    if n == 1:
+        return right / main[0]
+    even, odd, a, b = main[0::2].copy(), main[1::2], off[0::2], off[1::2]
+    r = right[0::2].copy()
+    left, down = a / odd, b / odd[: len(b)]
+    even[: len(odd)] -= a * left
+    even[1 : len(b) + 1] -= b * down
+    r[: len(odd)] -= left[:, None] * right[1::2]
+    r[1 : len(b) + 1] -= down[:, None] * right[1::2][: len(b)]
+    x = np.empty_like(right)
+    x[0::2] = _tridiagonal(even, -left[: len(b)] * b, r)
+    rest = right[1::2] - a[:, None] * x[0::2][: len(odd)]
+    rest[: len(b)] -= b[:, None] * x[0::2][1 : len(b) + 1]
+    x[1::2] = rest / odd[:, None]
     return x
 
 

@@ -8,7 +8,7 @@ from sunloom.kernels import decompositions as dc
 
 #: Thresholds for daytime that are tried.
 SUN_THRESHOLDS = np.logspace(-5, -1, 21)
-CAPACITY_WEIGHTS, SHIFT_WEIGHTS = np.logspace(-0.5, 2.5, 13), np.logspace(0.5, 3.5, 11)
+CAPACITY_WEIGHTS, SHIFT_WEIGHTS = np.logspace(-0.5, 2.5, 13), np.logspace(-1, 2, 11)
 CDF_POINTS = 5000
 #: A step lies between two usable days, so with fewer there is nothing to decide.
 LEAST_DAYS = 2
@@ -42,10 +42,15 @@ def sun_times(rise: np.ndarray, fall: np.ndarray, seed: int = 0) -> dict[str, np
         if wide:
             errors[i] = float(np.mean(np.concatenate(rest)))
     best = int(np.flatnonzero(errors < 1.1 * errors.min())[0])
-    up, down = (dc.smooth_quantile(x[best], tau) if np.isfinite(x[best]).any() else np.full(rise.shape[1], np.nan) for x, tau in ((rise, 0.1), (fall, 0.9)))
+    up, down = smooth_times(rise[best], fall[best])
     return {"threshold": float(SUN_THRESHOLDS[best]), "sunrise": up, "sunset": down, "noon": (rise[best] + fall[best]) / 2}
 
 
+def smooth_times(rise: np.ndarray, fall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smooth low quantile of the sunrises and high quantile of the sunsets; NaN where none is known."""
+    return tuple(dc.smooth_quantile(x, tau) if np.isfinite(x).any() else np.full(len(x), np.nan) for x, tau in ((rise, 0.1), (fall, 0.9)))
+
+
 def dbscan(points: np.ndarray, eps: float = 0.03, least: int = 3) -> np.ndarray:
     """Labels of density clusters, -1 for noise; labels in the order of each cluster's first core point."""
     n = len(points)
@@ -225,24 +230,42 @@ def clear_sky_labels(power: np.ndarray, clear: np.ndarray, low: float = 0.75, hi
     return out
 
 
-def monte_carlo_rates(energy: np.ndarray, labels: np.ndarray, seed: int = 0, least: int = 20, most: int = 60, batch: int = 10) -> dict[str, float]:
-    """Median and 95 % range of the degradation rate over random quantile levels, weights and held-out days; stops when the median settles."""
+#: Least and most samples, and changes that count as settled: of the last sample for the median and for both bounds, and of the last ten on average.
+MC_LEAST, MC_MOST, MC_SETTLED, MC_WINDOW = 20, 500, (5e-3, 1e-2, 1e-2), 10
+
+
+def unbiased_quantiles(x: np.ndarray, levels: tuple[float, ...]) -> np.ndarray:
+    """Approximately median-unbiased quantiles of a sample."""
+    n = len(x)
+    return np.interp((n + 1 / 3) * np.array(levels) + 1 / 3 - 1, np.arange(n), np.sort(x))
+
+
+def settled(rates: np.ndarray) -> bool:
+    """Whether median and 95 % bounds (percent a year) moved by less than their limits with the last sample and, on average, with the last ten."""
+    if len(rates) < MC_LEAST:
+        return False
+    states = np.array([100 * unbiased_quantiles(rates[:k], (0.5, 0.025, 0.975)) for k in range(len(rates) - MC_WINDOW, len(rates) + 1)])
+    moves = np.abs(np.diff(states, axis=0))
+    limits = np.array(MC_SETTLED)
+    return bool((moves[-1] < limits).all() and (moves.mean(axis=0) < limits).all())
+
+
+def monte_carlo_rates(energy: np.ndarray, labels: np.ndarray, seed: int = 0, least: int = MC_LEAST, most: int = MC_MOST, use_days: np.ndarray | None = None, **options) -> dict[str, float]:
+    """Median and 95 % range of the degradation rate over random quantile levels, soiling weights and held-out fifths, and the number of samples; stops once they settle.
+
+    ``use_days`` are the days that may be used at all; ``options`` are those of ``loss_factors``, the same for each sample.
+    """
     rng = np.random.default_rng(seed)
     rates: list[float] = []
-    before = np.inf
     while len(rates) < most:
-        for _ in range(batch):
-            use = rng.random(len(energy)) > 0.2
-            f = dc.loss_factors(energy, labels, tau=rng.uniform(0.85, 0.95), season_weight=rng.uniform(0.1, 1.0), use=use, waves=4)
-            rates.append(float(f["rate"][0]))
-        middle = float(np.median(rates))
-        if len(rates) >= least and abs(middle - before) < 5e-3:
+        use = rng.random(len(energy)) > 0.2
+        use = use if use_days is None else use & use_days
+        f = dc.loss_factors(energy, labels, tau=rng.uniform(0.85, 0.95), stiffness=rng.uniform(0.1, 1.0), use=use, **options)
+        rates.append(float(f["rate"][0]))
+        if len(rates) >= least and settled(np.array(rates)):
             break
-        before = middle
-    x = np.sort(np.array(rates))
-    n = len(x)
-    at = lambda q: float(np.interp((n + 1 / 3) * q + 1 / 3 - 1, np.arange(n), x))
-    return {"rate": at(0.5), "low": at(0.025), "high": at(0.975), "samples": float(n)}
+    middle, low, high = unbiased_quantiles(np.array(rates), (0.5, 0.025, 0.975))
+    return {"rate": float(middle), "low": float(low), "high": float(high), "samples": float(len(rates))}
 
 
 def tilt_azimuth(cos_theta: np.ndarray, delta: np.ndarray, omega: np.ndarray, latitude: float, start: tuple[float, float] = (20.0, 0.0)) -> tuple[float, float]:

@@ -49,10 +49,22 @@ def first_of_each_time(df: DataFrame, keys: list[str], order: list[str], ts: str
 
 
 def gap_seconds(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Rows with ``gap``, the seconds since the row before, rounded to tens, halves to the even one."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+    """Rows with ``gap``, the seconds since the row before, rounded to tens, halves to the even one; rows without a time are dropped.
+
+    Rows are ordered within days; the last time of the day before that has one comes from
+    one small row a day, so a dense source spreads over as many tasks as it has days.
+    """
     s = seconds(F.col(ts))
-    return df.withColumn("gap", (F.bround((s - F.lag(s).over(w)) / 10.0) * 10).cast("long"))
+    rows = df.filter(F.col(ts).isNotNull()).withColumns({"_s": s, "_day": F.to_date(ts)})
+    ends = rows.groupBy(*keys, "_day").agg(F.max("_s").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day"))
+    carried = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_day").alias("_on"), before.alias("_carried"))
+    same = F.col("_day") == F.col("_on")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.lag("_s").over(Window.partitionBy(*keys, "_day").orderBy("_s"))
+    gap = (F.bround((F.col("_s") - F.coalesce(within, F.col("_carried"))) / 10.0) * 10).cast("long")
+    return rows.join(carried, same).withColumn("gap", gap).select(*df.columns, "gap")
 
 
 def common_gaps(df: DataFrame, keys: list[str], ts: str = "ts", share: float = 0.05) -> DataFrame:
@@ -70,25 +82,32 @@ def daily_scan_rates(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
     return day.withColumn("changes", F.coalesce(F.col("rate") != before, F.lit(False)))
 
 
-def nearest_on_grid(df: DataFrame, keys: list[str], step_s: int, ts: str = "ts", value: str = "value") -> DataFrame:
+def nearest_on_grid(df: DataFrame, keys: list[str], step_s: int, ts: str = "ts", value: str = "value", with_own: bool = False) -> DataFrame:
     """(keys, slot, value): each reading on its grid point, or on the one free grid point next to it on either side.
 
     A grid point takes the nearest of its candidates, at equal distance the later one.
     A reading is a candidate for its own grid point, for the first one after it before
     the next reading, and for the last one before it after the reading before; so no
-    range join is needed.
+    range join is needed.  ``with_own`` adds whether the reading is of the grid point's day.
     """
-    w = Window.partitionBy(*keys).orderBy("s")
+    shard_s = max(86_400, step_s)
+    shard = F.floor(F.col("s") / shard_s)
     rows = df.filter(F.col(ts).isNotNull()).select(*keys, seconds(F.col(ts)).alias("s"), F.col(value).alias("v"))
-    seen = rows.withColumns({"before": F.lag("s").over(w), "after": F.lead("s").over(w)})
+    # Each day for itself, with the readings of its neighbours that are within a step of it.
+    near = F.array_distinct(F.array(F.floor((F.col("s") - step_s) / shard_s), shard, F.floor((F.col("s") + step_s) / shard_s)))
+    parts = rows.select(*keys, "s", "v", shard.alias("own"), F.explode(near).alias("shard"))
+    w = Window.partitionBy(*keys, "shard").orderBy("s")
+    seen = parts.withColumns({"before": F.lag("s").over(w), "after": F.lead("s").over(w)}).filter(F.col("own") == F.col("shard"))
     s, f = F.col("s"), F.lit(step_s)
     up, down = (F.floor(s / f) + 1) * f, (F.ceil(s / f) - 1) * f
     own = F.when(s % f == 0, s)
     later = F.when(F.col("after").isNull() | (up < F.col("after")), up)
     earlier = F.when(F.col("before").isNull() | (down > F.col("before")), down)
     spread = seen.select(*keys, "s", "v", F.explode(F.array_distinct(F.array(own, later, earlier))).alias("slot")).filter("slot IS NOT NULL")
-    best = F.min_by("v", F.struct(F.abs(F.col("slot") - F.col("s")).alias("far"), (-F.col("s")).alias("late")))
-    return spread.groupBy(*keys, "slot").agg(best.alias(value)).withColumn("slot", at_seconds(F.col("slot")))
+    best = F.min_by(F.struct("v", "s"), F.struct(F.abs(F.col("slot") - F.col("s")).alias("far"), (-F.col("s")).alias("late")))
+    own_day = F.floor(F.col("best.s") / 86_400) == F.floor(F.col("slot") / 86_400)
+    placed = spread.groupBy(*keys, "slot").agg(best.alias("best"))
+    return placed.select(*keys, at_seconds(F.col("slot")).alias("slot"), F.col("best.v").alias(value), *([own_day.alias("own")] if with_own else []))
 
 
 def full_grid(df: DataFrame, keys: list[str], step_s: int, ts: str = "ts") -> DataFrame:
@@ -108,9 +127,12 @@ def standardize(df: DataFrame, keys: list[str], step_s: int, order: list[str], t
 def embed(df: DataFrame, keys: list[str], step_s: int, slot: str = "slot", value: str = "value") -> DataFrame:
     """(keys, day, i, value): the (day, slot of the day) coordinates of a regular series, without empty days at either end."""
     out = df.select(*keys, F.to_date(slot).alias("day"), F.floor((seconds(F.col(slot)) % 86_400) / step_s).cast("int").alias("i"), F.col(value).alias("value"))
-    by = Window.partitionBy(*keys)
     seen = F.when(F.col("value").isNotNull(), F.col("day"))
-    return out.withColumns({"a": F.min(seen).over(by), "b": F.max(seen).over(by)}).filter(F.col("day").between(F.col("a"), F.col("b"))).drop("a", "b")
+    ends = out.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(seen).alias("a"), F.max(seen).alias("b"))
+    same = F.col("day").between(F.col("a"), F.col("b"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out.join(ends, same).select(*out.columns)
 
 
 def average_day_shift(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,12 +1,15 @@
-"""The whole analysis of a fleet: sub-daily work relational, daily fits one kernel call a system.
+"""The whole analysis of a fleet: gridding relational, the fits of a system in one kernel call.
 
-Input is (system_id, ts, value).  Each stage is a lazy transformation; the daily table
-has one row a day of a system, so a kernel's input stays at some thousand rows however
-dense the readings are.
+Input is (system_id, ts, value).  Readings are cleaned, put on the regular grid of their
+source and gathered by day, all in shards of a day.  A day is then one row of at most 288
+values, so a system's rows grow with its years only, however dense its readings were, and
+one call holds the matrix of a system for all stages.  A stage that fails leaves nulls and
+its text in ``run_pipeline_error``; the stages after it that can go on do.
 """
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 import numpy as np
@@ -15,139 +18,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.functions import solar
+from sunloom.kernels import days as dm
 from sunloom.kernels import decompositions as dc
 from sunloom.kernels import detect
-from sunloom.operators import daily, timeaxis
+from sunloom.operators import rebin, timeaxis
 from sunloom.operators.stats import shapley
-from sunloom.operators.tables import shift_days
+from sunloom.operators.tables import ERROR_CHARS
 from sunloom.session import cut_lineage, spread
 
 KEYS = ["system_id"]
-_LEVELS = range(len(detect.SUN_THRESHOLDS))
+NO_ERROR = "No error"
 DAILY_SCHEMA = (
     "system_id string, day date, sunrise double, sunset double, density_score double, density_fit double, linearity_score double, energy double, top double, "
     "cluster int, no_errors boolean, clear_weight double, is_clear boolean, is_cloudy boolean, clipped boolean, capacity_label int, roll int, "
-    "capacity double, threshold double, normal_scores boolean, inverter_clipping boolean, clip_points array<double>, shifted boolean, undecided string, error string"
+    "capacity double, threshold double, normal_scores boolean, inverter_clipping boolean, clip_points array<double>, shifted boolean, standard_shift int, "
+    "time_zone_correction int, filled array<double>, undecided string, error string, seconds double"
 )
+_NAMES = [f.strip().split(" ")[0] for f in DAILY_SCHEMA.split(",")]
+#: Hours that the mean noon must be off for the residual correction of the zone.
+ZONE_OFF = 1.0
 
 
 def _spread(df: DataFrame) -> DataFrame:
     return spread(df, *KEYS)
 
 
-def observations(df: DataFrame, step_minutes: int, low: float | None = -5.0, high: float | None = None) -> DataFrame:
-    """obs(system_id, day, slot, value): cleaned, on the regular grid, without empty days at either end."""
-    clean = df.select(*KEYS, F.col("ts").cast("timestamp_ntz").alias("ts"), daily_value(F.col("value"), low, high).alias("value"))
-    grid = timeaxis.standardize(clean, KEYS, step_minutes * 60, ["value"])
-    return timeaxis.embed(grid, KEYS, step_minutes * 60).withColumnRenamed("i", "slot")
+def gridded_days(df: DataFrame, step_minutes: int, low: float | None = -5.0, high: float | None = None) -> DataFrame:
+    """(system_id, day, slots, values, own): the cleaned readings of each day on the regular grid, and whether any is of that day itself."""
+    clean = df.select(*KEYS, F.col("ts").cast("timestamp_ntz").alias("ts"), timeaxis.clip_range(F.col("value"), low, high).alias("value"))
+    first = timeaxis.first_of_each_time(clean, KEYS, ["value"])
+    placed = timeaxis.nearest_on_grid(first, KEYS, step_minutes * 60, with_own=True)
+    slot = F.floor(timeaxis.seconds(F.col("slot")) % 86_400 / (step_minutes * 60)).cast("int")
+    cell = F.struct(slot.alias("slot"), "value")
+    cells = placed.filter("value IS NOT NULL").groupBy(*KEYS, F.to_date("slot").alias("day")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.max("own").alias("own"))
+    return cells.select(*KEYS, "day", F.col("cells.slot").alias("slots"), F.col("cells.value").alias("values"), "own")
 
 
-def daily_value(value, low, high):
-    return timeaxis.clip_range(value, low, high)
+def detectors(x: dict[str, np.ndarray], m: int, fix_shifts: bool = True, capacity: bool = True) -> tuple[dict[str, object], list[str], list[str]]:
+    """(columns, undecided, errors): all flags and labels of one system's daily statistics; columns of a stage that fails are missing."""
+    out: dict[str, object] = {}
+    undecided: list[str] = []
+    errors: list[str] = []
 
-
-def rough_sun_times(obs: DataFrame, m: int) -> DataFrame:
-    """(system_id, day, r0.., s0..): first and last slot above each of the thresholds, all in one aggregation."""
-    q = daily.system_quantiles(obs).select(*KEYS, "q99", F.greatest("low", -0.005 * F.col("q99")).alias("floor"))
-    x = obs.join(q, KEYS).withColumn("x", (F.col("value") - F.col("floor")) / F.nullif("q99", F.lit(0.0)))
-    aggregates = []
-    for i, th in enumerate(detect.SUN_THRESHOLDS):
-        bright = F.when(F.col("x") > float(th), F.col("slot"))
-        aggregates += [F.min(bright).alias(f"r{i}"), F.max(bright).alias(f"s{i}")]
-    rough = x.groupBy(*KEYS, "day").agg(*aggregates)
-    hours = 24.0 / m
-    return rough.select(
-        *KEYS, "day",
-        F.array(*[F.when(F.col(f"r{i}") > 0, F.col(f"r{i}") * hours) for i in _LEVELS]).alias("rises"),
-        F.array(*[F.when(F.col(f"s{i}") < m - 1, F.col(f"s{i}") * hours) for i in _LEVELS]).alias("falls"),
-    )
-
-
-def filled(obs: DataFrame, sun: DataFrame, m: int) -> DataFrame:
-    """obs with ``filled``: nights 0, daytime gaps interpolated."""
-    hour = F.col("slot") * 24.0 / m
-    lit = obs.join(sun.select(*KEYS, "day", "sunrise", "sunset"), [*KEYS, "day"], "left").withColumn("night", ~F.coalesce((hour >= F.col("sunrise")) & (hour < F.col("sunset")), F.lit(True)))
-    zeroed = lit.withColumn("value", daily.zero_night(F.col("value"), F.col("night")))
-    return daily.interpolate_days(zeroed).withColumn("filled", F.coalesce("filled", F.lit(0.0)))
-
-
-def smooth_sun_times(obs: DataFrame, m: int) -> DataFrame:
-    """(system_id, day, sunrise, sunset, threshold): the optimised daytime of each system."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        rise, fall = (np.array([np.array(x, float) for x in pdf[c]]).T for c in ("rises", "falls"))
-        t = detect.sun_times(rise, fall)
-        return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, "sunrise": t["sunrise"], "sunset": t["sunset"], "noon": t["noon"], "threshold": t["threshold"]})
-
-    # Written first, so that the fits are spread by their number and not by the few bytes of their input.
-    return cut_lineage(rough_sun_times(obs, m)).transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, sunrise double, sunset double, noon double, threshold double")
-
-
-def daily_table(obs: DataFrame, sun: DataFrame, m: int) -> DataFrame:
-    """The daily scores that the detectors work on."""
-    full = filled(obs, sun, m).select(*KEYS, "day", "slot", F.col("filled").alias("value"))
-    scores = daily.daily_scores(obs, m).select(*KEYS, "day", "density")
-    energy = daily.daily_scores(full, m).select(*KEYS, "day", "energy", "bends")
-    lines = daily.linearity(full, m).select(*KEYS, "day", "linearity")
-    clip = daily.clip_scores(full).select(*KEYS, "day", "stat1", "stat2")
-    top = full.groupBy(*KEYS, "day").agg(F.max("value").alias("top"))
-    cap = daily.system_quantiles(obs).select(*KEYS, "capacity")
-    out = scores
-    for part in (energy, lines, clip, top, sun):
-        out = out.join(part, [*KEYS, "day"], "left")
-    return out.join(cap, KEYS, "left")
-
-
-def analyse(table: DataFrame, m: int, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
-    """Flags and labels of all days (``DAILY_SCHEMA``): the kernels of a system in one call; an error is kept in its row."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day").reset_index(drop=True)
-        n = len(pdf)
-        x = {c: pdf[c].astype(float).to_numpy() for c in ("density", "energy", "bends", "linearity", "stat1", "stat2", "top", "sunrise", "sunset", "noon", "capacity", "threshold")}
-        q = detect.quality(np.nan_to_num(x["density"]), np.nan_to_num(x["linearity"]))
-        weight = detect.clear_days(x["bends"], x["energy"], np.nan_to_num(x["density"]))
-        clear = (weight >= 1e-3) & (q["density_score"] > 0.9)
-        clip = detect.clipping(np.nan_to_num(x["stat1"]), np.nan_to_num(x["stat2"]), q["no_errors"])
-        labels = detect.capacity_steps(x["top"], q["no_errors"]) if capacity else None
-        share = (clear & q["no_errors"]).mean()
-        use = (clear & q["no_errors"]) if share >= 0.3 else q["no_errors"]
+    def stage(name, f):
+        try:
+            f()
+        except Exception as e:  # noqa: BLE001 - what a stage can't do must not end the others
+            errors.append(f"{name}: {type(e).__name__}: {e}")
+
+    def quality():
+        q = detect.quality(x["density"], x["linearity"])
+        out.update({k: q[k] for k in ("density_score", "density_fit", "linearity_score", "no_errors")}, cluster=q["cluster"].astype("int32"), normal_scores=q["normal"])
+
+    def clear():
+        weight = detect.clear_days(x["bends"], x["energy"], x["density"])
+        good = (weight >= 1e-3) & (out["density_score"] > 0.9)
+        out.update(clear_weight=weight, is_clear=good & out["no_errors"], is_cloudy=~good & out["no_errors"])
+
+    def clipping():
+        c = detect.clipping(x["stat1"], x["stat2"], out["no_errors"])
+        out.update(clipped=c["days"], inverter_clipping=c["inverter_clipping"], clip_points=[c["points"].tolist()] * len(x["top"]))
+
+    def levels():
+        labels = detect.capacity_steps(x["top"], out["no_errors"]) if capacity else None
+        if labels is None:
+            undecided.append(f"capacity: {'too few usable days' if capacity else 'switched off'}")
+        else:
+            out["capacity_label"] = labels.astype("int32")
+
+    def shifts():
+        clear_enough = out["is_clear"].mean() >= 0.3
+        use = out["is_clear"] if clear_enough else out["no_errors"]
         shift = detect.clock_shifts(x["noon"], use, m) if fix_shifts else None
-        # Without a decision null and the reason, never "no".
-        reasons = [f"capacity: {'too few usable days' if capacity else 'switched off'}"] if labels is None else []
         if shift is None:
-            reasons.append(f"shift: {'switched off' if not fix_shifts else 'too few usable days' if (use & np.isfinite(x['noon'])).sum() < detect.LEAST_DAYS else 'the season hides a step in so short a series'}")
-        out = pd.DataFrame(
-            {
-                "system_id": pdf.system_id, "day": pdf.day, "sunrise": x["sunrise"], "sunset": x["sunset"], "density_score": q["density_score"], "density_fit": q["density_fit"],
-                "linearity_score": q["linearity_score"], "energy": x["energy"], "top": x["top"], "cluster": q["cluster"].astype("int32"), "no_errors": q["no_errors"], "clear_weight": weight,
-                "is_clear": clear & q["no_errors"], "is_cloudy": ~clear & q["no_errors"], "clipped": clip["days"], "capacity_label": [None] * n if labels is None else labels.astype("int32"), "roll": [None] * n if shift is None else shift["roll"].astype("int32"),
-                "capacity": x["capacity"], "threshold": x["threshold"], "normal_scores": q["normal"], "inverter_clipping": clip["inverter_clipping"],
-                "clip_points": [clip["points"].tolist()] * n, "shifted": None if shift is None else shift["shifted"], "undecided": "; ".join(reasons) or None, "error": None,
-            }
-        )
-        return out
-
-    names = [f.strip().split(" ")[0] for f in DAILY_SCHEMA.split(",")]
+            few = (use & np.isfinite(x["noon"])).sum() < detect.LEAST_DAYS
+            undecided.append(f"shift: {'switched off' if not fix_shifts else 'too few usable days' if few else 'the season hides a step in so short a series'}")
+        else:
+            out.update(roll=shift["roll"].astype("int32"), shifted=shift["shifted"])
+
+    for f in (quality, clear, clipping, levels, shifts):
+        stage(f.__name__, f)
+    return out, undecided, errors
+
+
+def analyse_system(day: np.ndarray, slots: list, values: list, m: int, fix_shifts: bool = True, capacity: bool = True) -> pd.DataFrame:
+    """Daily results of one system (``DAILY_SCHEMA`` without the system)."""
+    began = time.perf_counter()
+    numbers, x = dm.matrix(day, slots, values, m)
+    if len(numbers) == 0:
+        raise ValueError("no values")
+    standard = dm.average_day_shift(x)
+    x = dm.moved(x, standard * m // 24)
+    n = len(x)
+    undecided: list[str] = []
+    errors: list[str] = []
+    try:
+        sun = dm.sun(x)
+    except Exception as e:  # noqa: BLE001
+        errors.append(f"daytime: {type(e).__name__}: {e}")
+        nothing = np.full(n, np.nan)
+        sun = {"threshold": np.nan, "sunrise": nothing, "sunset": nothing, "noon": nothing}
+    full = dm.filled(x, dm.daytime(n, m, sun["sunrise"], sun["sunset"]))
+    stats = dm.statistics(x, full)
+    found, undecided, more = detectors({**stats, "noon": sun["noon"]}, m, fix_shifts, capacity)
+    errors += more
+    # Flags and labels are those of the clock as it was; the days are then rolled, and daytime is found anew.
+    roll = found.get("roll", np.zeros(n, np.int32))
+    x, zone = dm.rolled(x, roll), 0
+    if roll.any():
+        sun = dm.sun(x, sun["threshold"])
+    noon = np.nanmean((sun["sunrise"] + sun["sunset"]) / 2) if np.isfinite(sun["sunrise"] + sun["sunset"]).any() else 12.0
+    if fix_shifts and abs(12 - noon) > ZONE_OFF:
+        zone = int(np.rint(12 - noon))
+        x = dm.rolled(x, np.full(n, zone * m // 24))
+        sun = dm.sun(x, sun["threshold"])
+    if roll.any() or zone:
+        full = dm.filled(x, dm.daytime(n, m, sun["sunrise"], sun["sunset"]))
+    out = {
+        "day": pd.to_datetime(numbers, unit="D").date, "sunrise": sun["sunrise"], "sunset": sun["sunset"], "threshold": sun["threshold"], "energy": full.sum(axis=1) * 24 / m, "top": stats["top"],
+        "capacity": stats["capacity"], "standard_shift": standard, "time_zone_correction": zone, "filled": list(full), "undecided": "; ".join(undecided) or None,
+        "error": "; ".join(errors)[:ERROR_CHARS] or None, **found, "seconds": time.perf_counter() - began,
+    }
+    return pd.DataFrame({c: out.get(c) for c in _NAMES[1:]}, index=range(n))
+
+
+def analyse(days: DataFrame, m: int, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
+    """Flags and labels of all days (``DAILY_SCHEMA``) from ``gridded_days``: the kernels of a system in one call; an error is kept in its row."""
 
     def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
+        system = pdf.system_id.iloc[0]
+        # The grid ends with the days that have readings; a last reading near midnight makes no further day.
+        on = pdf.day[pdf.own]
+        pdf = pdf[(pdf.day >= on.min()) & (pdf.day <= on.max())] if len(on) else pdf.iloc[:0]
         try:
-            return kernel(pdf)[names]
+            numbers = (pd.to_datetime(pdf.day) - pd.Timestamp(1970, 1, 1)).dt.days.to_numpy()
+            with np.errstate(all="ignore"):
+                return analyse_system(numbers, list(pdf.slots), list(pdf["values"]), m, fix_shifts, capacity).assign(system_id=system)[_NAMES]
         except Exception as e:  # noqa: BLE001 - one system's failure must not end the others
-            row = {c: [None] for c in names} | {"system_id": [pdf.system_id.iloc[0]], "error": [f"{type(e).__name__}: {e}"[:300]]}
-            return pd.DataFrame(row)[names]
+            return pd.DataFrame({c: [None] for c in _NAMES} | {"system_id": [system], "error": [f"{type(e).__name__}: {e}"[:ERROR_CHARS]]})[_NAMES]
 
-    return table.transform(_spread).groupBy(*KEYS).applyInPandas(guarded, DAILY_SCHEMA)
+    return days.transform(_spread).groupBy(*KEYS).applyInPandas(guarded, DAILY_SCHEMA)
 
 
 def run(df: DataFrame, step_minutes: int = 60, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
-    """The daily results of all systems of (system_id, ts, value)."""
-    m = 1440 // step_minutes
-    # Both are read by many of the aggregates that follow, so they are written once.
-    obs = cut_lineage(observations(df, step_minutes))
-    sun = cut_lineage(smooth_sun_times(obs, m))
-    return analyse(daily_table(obs, sun, m), m, fix_shifts, capacity)
+    """The daily results of all systems of (system_id, ts, value), all on one grid."""
+    # Written first, so that the fits are spread by their number and not by the few bytes of their input.
+    return analyse(cut_lineage(gridded_days(df, step_minutes)), 1440 // step_minutes, fix_shifts, capacity)
 
 
 def run_by_step(df: DataFrame, steps: DataFrame, fix_shifts: bool = True, capacity: bool = True) -> DataFrame:
@@ -162,14 +178,18 @@ def run_by_step(df: DataFrame, steps: DataFrame, fix_shifts: bool = True, capaci
     return reduce(DataFrame.unionByName, parts)
 
 
-def report(results: DataFrame) -> DataFrame:
-    """One row a system: length in years, capacity, scores and detections; the error of one that failed."""
-    good = F.col("error").isNull()
-    share = lambda c: F.avg(F.when(good, F.col(c).cast("double")))
-    return results.groupBy(*KEYS).agg(
-        F.round(F.count_if(good) / 365.0, 3).alias("length"),
+def report(results: DataFrame, losses: DataFrame | None = None, systems: DataFrame | None = None) -> DataFrame:
+    """One row a system: length in years, capacity, scores and detections, and the errors of each stage of the run.
+
+    With ``losses`` (of ``loss_summary``) its energies and rates too; with ``systems``, a
+    table of all that were asked for, a row for those without readings.
+    """
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    one = results.groupBy(*KEYS).agg(
+        F.round(F.count("day") / 365.0, 3).alias("length"),
         F.max("capacity").alias("capacity"),
         F.when(F.max("capacity") <= 500, "kW").otherwise("W").alias("power_units"),
+        *([F.max("step_minutes").cast("double").alias("sampling")] if "step_minutes" in results.columns else []),
         F.round(share("no_errors"), 3).alias("quality_score"),
         F.round(share("is_clear"), 3).alias("clearness_score"),
         F.max("inverter_clipping").alias("inverter_clipping"),
@@ -177,57 +197,128 @@ def report(results: DataFrame) -> DataFrame:
         F.when(F.count("capacity_label") > 0, F.countDistinct("capacity_label") > 1).alias("capacity_change"),
         (~F.max("normal_scores")).alias("data_quality_warning"),
         F.max("shifted").alias("time_shift_correction"),
+        F.max("time_zone_correction").alias("time_zone_correction"),
+        F.max("seconds").alias("runtimes"),
         F.max("undecided").alias("undecided"),
-        F.max("error").alias("error"),
+        F.coalesce(F.max("error"), F.lit(NO_ERROR)).alias("run_pipeline_error"),
     )
+    one = one.withColumn("run_pipeline_report_error", F.when(F.col("capacity").isNull(), "no daily results").otherwise(NO_ERROR))
+    if losses is not None:
+        one = one.join(losses, KEYS, "left").withColumns({c: F.coalesce(c, F.lit("no daily results")) for c in ("run_loss_analysis_error", "run_loss_analysis_report_error")})
+    if systems is not None:
+        one = systems.select(*KEYS).distinct().join(one, KEYS, "left")
+    return one.withColumn("get_data_error", F.when(F.col("run_pipeline_error").isNull(), "no readings").otherwise(NO_ERROR))
 
 
-def corrected(obs: DataFrame, results: DataFrame, m: int) -> DataFrame:
-    """obs with each day rolled by its clock shift."""
-    return shift_days(obs, results.select(*KEYS, "day", "roll"), m, KEYS)
+def slots_of(results: DataFrame) -> DataFrame:
+    """obs(system_id, day, slot, value): the corrected and filled readings of the results."""
+    return results.filter("filled IS NOT NULL").select(*KEYS, "day", F.posexplode("filled").alias("slot", "value"))
 
 
-def loss_analysis(results: DataFrame, samples: bool = False) -> DataFrame:
-    """(system_id, day, baseline, degradation, soiling, capacity, weather, rate): components of each day's log energy."""
-    schema = "system_id string, day date, baseline double, degradation double, soiling double, capacity double, weather double, rate double, rate_low double, rate_high double"
+LOSS_FACTORS = ["degradation", "soiling", "capacity_change", "weather"]
+LOSS_SCHEMA = (
+    "system_id string, day date, energy double, log_energy double, baseline double, degradation double, soiling double, capacity_change double, weather double, "
+    "outage boolean, rate double, rate_low double, rate_high double, samples double, error string"
+)
+_LOSS_NAMES = [f.strip().split(" ")[0] for f in LOSS_SCHEMA.split(",")]
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def loss_analysis(results: DataFrame, samples: bool = True, most: int = detect.MC_MOST, **options) -> DataFrame:
+    """Components of each day's log energy (``LOSS_SCHEMA``); days without energy or with errors in the data are outages, whose weather is null.
+
+    With ``samples`` the degradation rate is the median of a Monte Carlo run over levels,
+    weights and held-out days, and frozen for the components; without it the fitted one.
+    ``options`` are those of ``decompositions.loss_factors``.  A system that fails is one row with its error.
+    """
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day").reset_index(drop=True)
         energy, labels = pdf.energy.astype(float).to_numpy(), pdf.capacity_label.fillna(0).astype(int).to_numpy()
-        mc = detect.monte_carlo_rates(energy, labels) if samples else None
-        f = dc.loss_factors(energy, labels, rate=mc["rate"] if mc else None)
-        rate = float(f.pop("rate")[0])
-        return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, **f, "rate": rate, "rate_low": mc["low"] if mc else None, "rate_high": mc["high"] if mc else None}).astype({"rate_low": float, "rate_high": float})
+        good = (energy > 0.1) & pdf.no_errors.fillna(False).astype(bool).to_numpy()
+        mc = detect.monte_carlo_rates(energy, labels, most=most, use_days=good, **options) if samples else {}
+        f = dc.loss_factors(energy, labels, rate=mc.get("rate"), use=good, **options)
+        log_e = np.log(np.where(energy > 0.1, energy, np.nan))
+        parts = {"baseline": f["baseline"], "degradation": f["degradation"], "soiling": f["soiling"], "capacity_change": f["capacity"]}
+        weather = np.where(good, log_e - sum(parts.values()), np.nan)
+        return pdf[["system_id", "day", "energy"]].assign(
+            log_energy=log_e, **parts, weather=weather, outage=~good, rate=100 * (np.exp(float(f["rate"][0])) - 1),
+            rate_low=100 * (np.exp(mc["low"]) - 1) if mc else None, rate_high=100 * (np.exp(mc["high"]) - 1) if mc else None, samples=mc.get("samples"), error=None,
+        )
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            with np.errstate(all="ignore"):
+                out = components(pdf)
+        except Exception as e:  # noqa: BLE001 - one system's failure must not end the others
+            out = pd.DataFrame({c: [None] for c in _LOSS_NAMES} | {"system_id": [pdf.system_id.iloc[0]], "error": [f"{type(e).__name__}: {e}"[:ERROR_CHARS]]})
+        return out[_LOSS_NAMES].astype({c: float for c in ("rate_low", "rate_high", "samples")})
 
-    return results.filter("error IS NULL AND energy > 0.1").select(*KEYS, "day", "energy", "capacity_label").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, schema)
+    days = results.filter("day IS NOT NULL AND energy IS NOT NULL").select(*KEYS, "day", "energy", "capacity_label", "no_errors")
+    return days.transform(_spread).groupBy(*KEYS).applyInPandas(kernel, LOSS_SCHEMA)
 
 
 def loss_report(components: DataFrame) -> DataFrame:
-    """(system_id, total, degradation, soiling, capacity, weather): the energy that each factor costs, by mean over all orders."""
-    factors = ["degradation", "soiling", "capacity", "weather"]
-    linear = components.filter("weather IS NOT NULL").select(*KEYS, F.exp("baseline").alias("base"), *[F.exp(c).alias(c) for c in factors])
-    return shapley(linear, KEYS, factors, "base")
+    """(system_id, total, outage, degradation, soiling, capacity_change, weather): the energy that each factor costs, the mean over all orders in which the five come.
+
+    A factor multiplies a day's baseline energy by the exponential of its component; an
+    outage leaves what was measured of what the other factors but the weather would give.
+    """
+    out = F.col("outage")
+    would = F.col("baseline") + F.col("degradation") + F.col("soiling") + F.col("capacity_change")
+    linear = components.filter("error IS NULL").select(
+        *KEYS,
+        F.exp("baseline").alias("base"),
+        *[F.exp(c).alias(c) for c in LOSS_FACTORS[:-1]],
+        F.when(out, 1.0).otherwise(F.exp("weather")).alias("weather"),
+        F.when(out, F.coalesce(F.col("energy"), F.lit(0.0)) / F.exp(would)).otherwise(1.0).alias("outage"),
+    )
+    return shapley(linear, KEYS, ["outage", *LOSS_FACTORS], "base")
+
+
+def loss_summary(components: DataFrame) -> DataFrame:
+    """One row a system for the report: the losses of ``loss_report``, rate and bounds, and the errors of both stages."""
+    energies = loss_report(components).select(
+        *KEYS, F.col("total").alias("total_energy_loss"), F.col("outage").alias("system_outage_loss"), F.col("degradation").alias("degradation_energy_loss"),
+        F.col("soiling").alias("soiling_energy_loss"), F.col("capacity_change").alias("capacity_change_energy_loss"), F.col("weather").alias("weather_energy_loss"),
+    )
+    rates = components.groupBy(*KEYS).agg(
+        F.max("rate").alias("degradation_rate"), F.max("rate_low").alias("deg_rate_lower_bound"), F.max("rate_high").alias("deg_rate_upper_bound"), F.coalesce(F.max("error"), F.lit(NO_ERROR)).alias("run_loss_analysis_error")
+    )
+    report_error = F.when(F.col("total_energy_loss").isNull(), "no components").otherwise(NO_ERROR)
+    return rates.join(energies, KEYS, "left").withColumn("run_loss_analysis_report_error", report_error)
 
 
 def soiling_analysis(results: DataFrame) -> DataFrame:
-    """(system_id, day, soiling, season, trend) of energy over its 98 % quantile."""
+    """(system_id, day, energy, soiling, season, trend, corrected) of energy over its 98 % quantile; corrected is the energy without soiling."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day").reset_index(drop=True)
         e = pdf.energy.astype(float).to_numpy()
         f = dc.soiling(np.where(e > 0, e, np.nan) / np.nanquantile(e, 0.98))
-        return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, **f})
+        return pd.DataFrame({"system_id": pdf.system_id, "day": pdf.day, "energy": e, **f, "corrected": e / (1 + f["soiling"])})
+
+    return results.filter("energy > 0").select(*KEYS, "day", "energy").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, energy double, soiling double, season double, trend double, corrected double")
 
-    return results.filter("error IS NULL").select(*KEYS, "day", "energy").transform(_spread).groupBy(*KEYS).applyInPandas(kernel, "system_id string, day date, soiling double, season double, trend double")
 
+def location(results: DataFrame, gmt_offset: float | str) -> DataFrame:
+    """(system_id, longitude, latitude): from solar noons and hours of daylight, the medians of the daily estimates.
 
-def location(results: DataFrame, gmt_offset: float) -> DataFrame:
-    """(system_id, longitude, latitude): from solar noons and hours of daylight, the medians of the daily estimates."""
+    ``gmt_offset``: hours, or the name of a column of the results.
+    """
     doy = F.dayofyear("day").cast("double")
     noon = (F.col("sunrise") + F.col("sunset")) / 2 * 60
-    lon = solar.longitude_from_noon(noon, F.lit(gmt_offset), solar.eot_duffie(doy))
+    offset = F.col(gmt_offset) if isinstance(gmt_offset, str) else F.lit(gmt_offset)
+    lon = solar.longitude_from_noon(noon, offset, solar.eot_duffie(doy))
     lat = solar.latitude_from_daylight(F.col("sunset") - F.col("sunrise"), solar.declination_cooper(doy))
-    return results.filter("error IS NULL").groupBy(*KEYS).agg(F.percentile(lon, F.lit(0.5)).alias("longitude"), F.percentile(lat, F.lit(0.5)).alias("latitude"))
+    return results.filter("sunrise IS NOT NULL AND sunset IS NOT NULL").groupBy(*KEYS).agg(F.percentile(lon, F.lit(0.5)).alias("longitude"), F.percentile(lat, F.lit(0.5)).alias("latitude"))
+
+
+def clear_sky(results: DataFrame, m: int, points: int = 101, level: float = 0.9, harmonics: tuple[int, int] = (16, 3)) -> DataFrame:
+    """(system_id, day, slot, clear): the clear-sky model of all slots, a smooth quantile of the dilated days brought back to the clock."""
+    sun = results.filter("sunrise IS NOT NULL AND sunset > sunrise").select(*KEYS, "day", "sunrise", "sunset")
+    dilated = rebin.dilate(slots_of(results), sun, m, points)
+    model = clear_sky_quantile(dilated, points, level, harmonics)
+    return rebin.undilate(model.select(*KEYS, "day", "k", F.greatest("clear", F.lit(0.0)).alias("value")), sun, m, points).withColumnRenamed("value", "clear")
 
 
 def clear_sky_quantile(dilated: DataFrame, day_length: int, level: float = 0.9, harmonics: tuple[int, int] = (8, 2)) -> DataFrame:

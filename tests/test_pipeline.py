@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunloom.operators import rebin, tables
+from sunloom.kernels import days, detect
+from sunloom.operators import daily, rebin, tables
 from sunloom.plans import analyses, pipeline
 from sunloom.sources import readers
 from sunloom.streaming.daily import daily_stream
@@ -33,23 +34,81 @@ def test_report_finds_the_planted_step(fleet):
     assert not r["plain"].time_shift_correction
     labels = fleet[1].filter("system_id = 'cut'").groupBy("capacity_label").agg(F.min("day").alias("d")).orderBy("d").collect()
     assert abs((labels[1].d - datetime(2021, 9, 8).date()).days) <= 2
-    assert r["dark"].error is not None or r["dark"].quality_score in (None, 0.0, r["dark"].quality_score)
-
-
-def test_short_systems_get_steps_or_no_answer(spark):
-    day = [(d, datetime(2021, 5, 1) + timedelta(days=d)) for d in range(24)]
-    rows = [("cut", *x) for x in day] + [("even", *x) for x in day] + [("one", *day[0])]
-    cols = "0.5D AS density, 50.0 * f AS energy, 0.1D AS bends, 0.01D AS linearity, 0.9D AS stat1, 0.05D AS stat2, 10.0D * f AS top, 6.0D AS sunrise, 18.0D AS sunset, 12.0D AS noon, 10.0D AS capacity, 1e-3D AS threshold"
-    table = spark.createDataFrame(rows, "system_id string, d int, t timestamp_ntz").selectExpr("*", "IF(system_id = 'cut' AND d >= 12, 0.5D, 1.0D) * (1 + 0.01D * sin(d)) AS f")
-    results = pipeline.analyse(table.selectExpr("system_id", "CAST(t AS DATE) AS day", *cols.split(", ")), 24).cache()
-    assert results.filter("error IS NOT NULL").count() == 0
-    r = {x.system_id: x for x in pipeline.report(results).collect()}
-    assert r["cut"].capacity_change is True and r["even"].capacity_change is False and r["one"].capacity_change is None
-    at = results.filter("system_id = 'cut'").groupBy("capacity_label").agg(F.min("day").alias("d")).orderBy("d").collect()
-    assert [x.d.day for x in at] == [1, 13]
-    # A shift of an hour can't be told from the season here, so the answer is not "no".
-    assert all(x.time_shift_correction is None and "shift: " in x.undecided for x in r.values())
-    assert "capacity: too few" in r["one"].undecided
+    assert r["dark"].quality_score in (None, 0.0) and r["plain"].run_pipeline_error == r["plain"].get_data_error == "No error"
+
+
+def test_short_systems_get_steps_or_no_answer():
+    d = np.arange(24)
+
+    def run(f):
+        n = len(f)
+        same = {"density": 0.5, "bends": 0.1, "linearity": 0.01, "stat1": 0.9, "stat2": 0.05, "noon": 12.0}
+        return pipeline.detectors({**{k: np.full(n, v) for k, v in same.items()}, "energy": 50 * f, "top": 10 * f}, 24)
+
+    cut, even, one = run(np.where(d >= 12, 0.5, 1.0) * (1 + 0.01 * np.sin(d))), run(1 + 0.01 * np.sin(d)), run(np.ones(1))
+    assert not any(x[2] for x in (cut, even, one))
+    assert np.flatnonzero(np.diff(cut[0]["capacity_label"])).tolist() == [11] and not even[0]["capacity_label"].any()
+    # "No" only where a shift of an hour would be found.
+    assert all(any("shift: " in u for u in x[1]) if "roll" not in x[0] else not x[0]["roll"].any() for x in (cut, even, one))
+    assert any("capacity: too few" in u for u in one[1]) and any("shift: too few" in u for u in one[1])
+
+
+def test_a_stage_that_fails_leaves_the_others(monkeypatch):
+    def broken(*_):
+        raise ValueError("no luck")
+
+    monkeypatch.setattr(detect, "clipping", broken)
+    day = np.clip(np.cos((np.arange(24) - 12) / 6 * np.pi / 2), 0, None)
+    out = pipeline.analyse_system(np.arange(40), [np.arange(24)] * 40, [day * (1 + 0.1 * np.sin(i)) for i in range(40)], 24)
+    assert (out.error == "clipping: ValueError: no luck").all() and out.clipped.isna().all()
+    assert out.no_errors.notna().all() and out.energy.notna().all()
+
+
+def planted(n, shift=lambda d: 0, m=96):
+    """Days of a system whose clock is off by some hours on some days."""
+    rng = np.random.default_rng(1)
+    h = np.arange(m) * 24 / m
+    out = []
+    for d in range(n):
+        half = 5.5 + np.cos((d - 172) * 2 * np.pi / 365)
+        x = h - shift(d)
+        light = np.where(np.abs(x - 12) < half, np.cos((x - 12) / half * np.pi / 2), 0)
+        out.append(np.clip(10 * light * (1 if rng.random() < 0.6 else rng.uniform(0.5, 1, m)), 0, None))
+    return out
+
+
+def test_a_planted_clock_shift_is_corrected():
+    off = lambda d: 1 if 150 <= d < 300 else 0
+    values = planted(500, off)
+    out = pipeline.analyse_system(np.arange(500), [np.arange(96)] * 500, values, 96)
+    assert out.error.isna().all() and out.shifted.all()
+    assert abs(np.mean(out.roll[160:290]) + 4) < 0.1 and abs(np.mean(np.r_[out.roll[:140], out.roll[310:]])) < 0.1
+    got = np.array([np.asarray(x) for x in out["filled"]])
+    assert np.allclose(got.sum(axis=1), np.array(values).sum(axis=1))
+    middle = lambda x: (x * np.arange(96)).sum(axis=1) / x.sum(axis=1)
+    assert abs(middle(got)[160:290].mean() - middle(got)[:140].mean()) < 0.3
+
+
+def test_clocks_that_are_far_off_are_moved():
+    for hours, field in ((7, "standard_shift"), (2, "time_zone_correction")):
+        out = pipeline.analyse_system(np.arange(120), [np.arange(96)] * 120, planted(120, lambda d: hours), 96)
+        assert (out[field] == -hours).all(), hours
+        assert abs(((out.sunrise + out.sunset) / 2).mean() - 12) < 0.4
+
+
+def test_matrix_statistics_equal_the_relational_ones(spark):
+    rng = np.random.default_rng(5)
+    x = np.clip(np.round(np.tile(np.clip(np.cos((np.arange(24) - 12) / 6 * np.pi / 2), 0, None), (20, 1)) * 10 + rng.normal(size=(20, 24)), 3), 0, None)
+    start = datetime(2021, 1, 1).date()
+    obs = spark.createDataFrame([("s", start + timedelta(days=d), i, float(x[d, i])) for d in range(20) for i in range(24)], "system_id string, day date, slot int, value double")
+    got = days.statistics(x, x)
+    scores = daily.daily_scores(obs, 24).orderBy("day").toPandas()
+    lines, clips = daily.linearity(obs, 24).orderBy("day").toPandas(), daily.clip_scores(obs).orderBy("day").toPandas()
+    for name, want in (("density", scores.density), ("energy", scores.energy), ("bends", scores.bends), ("top", scores.top), ("linearity", lines.linearity), ("stat1", clips.stat1), ("stat2", clips.stat2)):
+        assert np.allclose(got[name], want), name
+    sunny = daily.sun_times(daily.sunny(obs, 0.1), 24).orderBy("day").toPandas()
+    rise, fall = days.rough_sun_times(x, np.array([0.1]))
+    assert np.allclose(rise[0], sunny.sunrise.astype(float), equal_nan=True) and np.allclose(fall[0], sunny.sunset.astype(float), equal_nan=True)
 
 
 def test_fleet_keeps_each_sources_step(spark, tmp_path):
@@ -71,14 +130,26 @@ def test_fleet_keeps_each_sources_step(spark, tmp_path):
 
 
 def test_losses_add_up(fleet):
-    good = fleet[1].filter("system_id = 'plain'")
-    c = pipeline.loss_analysis(good)
+    good = fleet[1].filter("system_id = 'cut'").withColumn("energy", F.when(F.dayofyear("day") != 100, F.col("energy")).otherwise(0.0))
+    c = pipeline.loss_analysis(good, most=22).cache()
     r = pipeline.loss_report(c).first()
-    assert r.total == pytest.approx(r.degradation + r.soiling + r.capacity + r.weather, rel=1e-9)
+    assert r.total == pytest.approx(r.outage + r.degradation + r.soiling + r.capacity_change + r.weather, rel=1e-9)
+    # The step takes a third of the energy of the days after it; days without energy are outages.
+    after = good.filter("day >= '2021-09-10'").agg(F.sum("energy")).first()[0]
+    assert r.capacity_change == pytest.approx(-after * 0.35 / 0.65, rel=0.35) and r.outage < 0
+    one = c.first()
+    assert 20 <= one.samples <= 22 and one.rate_low <= one.rate <= one.rate_high
+    got = pipeline.report(good, pipeline.loss_summary(c), spark_systems(good)).collect()
+    assert {x.system_id: x.get_data_error for x in got} == {"cut": "No error", "absent": "no readings"}
+    assert [x.total_energy_loss for x in got if x.system_id == "cut"] == [pytest.approx(r.total)]
     loc = pipeline.location(good, 0.0).first()
     assert abs(loc.longitude) < 15
 
 
+def spark_systems(results):
+    return results.sparkSession.createDataFrame([("cut",), ("absent",)], "system_id string")
+
+
 def test_dilation_keeps_energy(spark):
     rows = [("s", datetime(2021, 1, d).date(), i, float(i if 7 <= i < 17 else 0)) for d in (1, 2) for i in range(24)]
     obs = spark.createDataFrame(rows, "system_id string, day date, slot int, value double")
