@@ -34,14 +34,14 @@ def dense_term(a: Array, prox: Callable[[Array, float], Array]) -> Term:
 
 def difference_gram(n: int, order: int, weights: Array | None = None) -> Array:
     """D'W²D of the differences of an order, built from its bands."""
-    d = np.zeros((n - order, n))
-    coefficients = {1: [-1.0, 1.0], 2: [1.0, -2.0, 1.0]}[order]
+    coefficients = {1: (-1.0, 1.0), 2: (1.0, -2.0, 1.0)}[order]
+    w = np.ones(n - order) if weights is None else np.asarray(weights, float) ** 2
     i = np.arange(n - order)
+    out = np.zeros((n, n))
     for k, c in enumerate(coefficients):
-        d[i, i + k] = c
-    if weights is not None:
-        d *= weights[:, None]
-    return d.T @ d
+        for l, d in enumerate(coefficients):
+            out[i + k, i + l] += c * d * w
+    return out
 
 
 def difference_term(n: int, order: int, at: int, total: int, prox, weights: Array | None = None) -> Term:
@@ -102,15 +102,26 @@ def norm2(weight: float) -> Callable[[Array, float], Array]:
     return prox
 
 
-def solve(p: Array, q: Array, terms: list[Term], rho: float = 1.0, iterations: int = 4000, tolerance: float = 1e-6, x0: Array | None = None) -> Array:
-    """The minimiser, by over-relaxed ADMM with a step size that follows the residuals."""
+def solve(p: Array, q: Array, terms: list[Term], rho: float = 1.0, iterations: int = 4000, tolerance: float = 1e-6, x0: Array | None = None, factors: dict[float, Array] | None = None) -> Array:
+    """The minimiser, by over-relaxed ADMM with a step size that follows the residuals.
+
+    ``factors`` keeps the inverse for each step size, for problems that differ in q and in
+    the proximal operators only.
+    """
     n = len(q)
     gram = sum((t.gram for t in terms), np.zeros((n, n)))
     first = rho
+    factors = {} if factors is None else factors
+
+    def inverse(rho: float) -> Array:
+        if rho not in factors:
+            factors[rho] = np.linalg.inv(p + rho * gram + 1e-12 * np.eye(n))
+        return factors[rho]
+
     x = np.zeros(n) if x0 is None else x0.copy()
     z = [t.apply(x) for t in terms]
     u = [np.zeros(t.size) for t in terms]
-    factor = np.linalg.inv(p + rho * gram + 1e-12 * np.eye(n))
+    factor = inverse(rho)
     for k in range(iterations):
         rhs = -q + rho * sum((t.adjoint(zi - ui) for t, zi, ui in zip(terms, z, u)), np.zeros(n))
         x = factor @ rhs
@@ -138,7 +149,7 @@ def solve(p: Array, q: Array, terms: list[Term], rho: float = 1.0, iterations: i
                 new_rho = float(np.clip(rho * np.clip(ratio, 0.05, 20), 1e-3 * first, 1e3 * first))
                 ratio, rho = new_rho / rho, new_rho
                 u = [ui / ratio for ui in u]
-                factor = np.linalg.inv(p + rho * gram + 1e-12 * np.eye(n))
+                factor = inverse(rho)
     return x
 
 

@@ -44,9 +44,11 @@ def smooth_quantile(signal: np.ndarray, tau: float = 0.75, weight: float = 1.0,
     return b @ z
 
 
-def steps_and_season(signal: np.ndarray, step_weight: float = 1.0, season_weight: float = 1e-3, use: np.ndarray | None = None, transitions: list[int] | None = None, periodic: bool = False, harmonics: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def steps_and_season(signal: np.ndarray, step_weight: float = 1.0, season_weight: float = 1e-3, use: np.ndarray | None = None, transitions: list[int] | None = None, periodic: bool = False, harmonics: int = 3, passes: int = 1, factors: dict[float, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(piecewise constant, season): |r|^2 + w1 |differences|_1 + 1/2 |roughness|^2; the season has no constant.
 
+    ``factors`` is for calls that differ in the step weight only.  With several ``passes`` each difference is weighted by 1 / (0.1 + its size in the pass before).
+
     With ``transitions`` the pieces are given and the weight is 0; ``periodic`` makes the
     piecewise constant part repeat after 365 days.
     """
@@ -79,10 +81,14 @@ def steps_and_season(signal: np.ndarray, step_weight: float = 1.0, season_weight
         times = np.bincount(fold[1:], minlength=m)[np.r_[1:m, 0]].astype(float)
         d = np.roll(np.eye(m), 1, axis=1) - np.eye(m)
         d = np.hstack([d * times[:, None], np.zeros((m, k))])
-        term = dense_term(d, soft(step_weight))
+        make = lambda weight: dense_term(d, soft(weight))
     else:
-        term = difference_term(m, 1, 0, m + k, soft(step_weight))
-    x = solve(h, q, [term], rho=10.0, iterations=3000, tolerance=1e-7)
+        make = lambda weight: difference_term(m, 1, 0, m + k, soft(weight))
+    x, weight = None, step_weight
+    for _ in range(passes):
+        term = make(weight)
+        x = solve(h, q, [term], rho=10.0, iterations=3000, tolerance=1e-7, x0=x, factors=factors)
+        weight = step_weight / (0.1 + np.abs(term.apply(x)))
     return x[:m][fold], b @ x[m:]
 
 

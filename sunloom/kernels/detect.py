@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from sunloom.kernels import admm
 from sunloom.kernels import decompositions as dc
 
 #: Thresholds for daytime that are tried.
@@ -182,9 +183,9 @@ def clock_shifts(noon: np.ndarray, use: np.ndarray, slots: int, to_hours: bool =
 
 def _clock_shifts(noon: np.ndarray, use: np.ndarray, slots: int, to_hours: bool, periodic: bool, seed: int) -> dict[str, np.ndarray | bool]:
     train, test = split(use, 0.85, np.random.default_rng(seed))
-    error = []
+    error, factors = [], {}
     for w in SHIFT_WEIGHTS:
-        s, z = dc.steps_and_season(noon, w, use=train, periodic=periodic)
+        s, z = dc.steps_and_season(noon, w, use=train, periodic=periodic, factors=factors)
         error.append(float(((noon - s - z)[test] ** 2).mean()))
     error = np.array(error)
     best = len(error) - 1
@@ -268,37 +269,40 @@ def monte_carlo_rates(energy: np.ndarray, labels: np.ndarray, seed: int = 0, lea
     return {"rate": float(middle), "low": float(low), "high": float(high), "samples": float(len(rates))}
 
 
-def tilt_azimuth(cos_theta: np.ndarray, delta: np.ndarray, omega: np.ndarray, latitude: float, start: tuple[float, float] = (20.0, 0.0)) -> tuple[float, float]:
-    """Tilt and azimuth (degrees, 0 to 90 and -180 to 180) whose incidence fits best, by bounded Gauss-Newton steps."""
-    d, w, la = np.radians(delta), np.radians(omega), np.radians(latitude)
-    parts = np.array([np.sin(d) * np.sin(la) + np.cos(d) * np.cos(la) * np.cos(w), np.cos(d) * np.sin(la) * np.cos(w) - np.sin(d) * np.cos(la), np.cos(d) * np.sin(w)])
-    low, high = np.array([0.0, -np.pi]), np.array([np.pi / 2, np.pi])
-    best, found = np.inf, np.radians(start)
-    for s in (start, (30.0, 90.0), (30.0, -90.0)):
-        x, lam = np.radians(s), 1e-3
-
-        def fit(x):
-            return np.cos(x[0]) * parts[0] + np.sin(x[0]) * (np.cos(x[1]) * parts[1] + np.sin(x[1]) * parts[2])
-
-        err = ((fit(x) - cos_theta) ** 2).sum()
-        for _ in range(200):
-            r = fit(x) - cos_theta
-            j = np.array([-np.sin(x[0]) * parts[0] + np.cos(x[0]) * (np.cos(x[1]) * parts[1] + np.sin(x[1]) * parts[2]), np.sin(x[0]) * (np.cos(x[1]) * parts[2] - np.sin(x[1]) * parts[1])]).T
-            h = j.T @ j
-            nx = np.clip(x - np.linalg.solve(h + lam * np.diag(np.diag(h) + 1e-9), j.T @ r), low, high)
-            ne = ((fit(nx) - cos_theta) ** 2).sum()
-            if ne < err:
-                done = err - ne < 1e-14 * max(err, 1)
-                x, err, lam = nx, ne, max(lam / 5, 1e-12)
-                if done:
-                    break
-            else:
-                lam *= 5
-                if lam > 1e8:
-                    break
-        if err < best:
-            best, found = err, x
-    return float(np.degrees(found[0])), float(np.degrees(found[1]))
+def incidence_weights(latitude: np.ndarray, tilt: np.ndarray, azimuth: np.ndarray) -> np.ndarray:
+    """Weights of sin(d), cos(d) cos(w) and cos(d) sin(w) in the cosine of incidence; angles in degrees."""
+    la, b, g = np.radians(latitude), np.radians(tilt), np.radians(azimuth)
+    return np.stack([np.sin(la) * np.cos(b) - np.cos(la) * np.sin(b) * np.cos(g), np.cos(la) * np.cos(b) + np.sin(la) * np.sin(b) * np.cos(g), np.sin(b) * np.sin(g)], axis=-1)
+
+
+def best_angles(a: np.ndarray, b: np.ndarray, known: dict[str, float], bounds: dict[str, tuple[float, float]], points: int = 19, rounds: int = 60) -> dict[str, float]:
+    """The unknown angles within their bounds whose incidence, times the best amplitude, has the least squared error, from the sums a (3 x 3) and b.
+
+    A grid over all of them, then the best neighbour on ever finer ones.
+    """
+    free = [k for k in ("latitude", "tilt", "azimuth") if k not in known]
+    low, high = (np.array([bounds[k][i] for k in free]) for i in (0, 1))
+
+    def gain(x: np.ndarray) -> np.ndarray:
+        at = {k: np.full(len(x), known[k]) if k in known else x[:, free.index(k)] for k in ("latitude", "tilt", "azimuth")}
+        c = incidence_weights(at["latitude"], at["tilt"], at["azimuth"])
+        fit = np.maximum(c @ b, 0)
+        return fit**2 / np.maximum(np.einsum("ni,ij,nj->n", c, a, c), 1e-300)
+
+    if not free:
+        return dict(known)
+    mesh = np.stack(np.meshgrid(*[np.linspace(lo, hi, points) for lo, hi in zip(low, high)], indexing="ij"), axis=-1).reshape(-1, len(free))
+    best, step = mesh[int(np.argmax(gain(mesh)))], (high - low) / (points - 1)
+    moves = np.stack(np.meshgrid(*[[-1, 0, 1]] * len(free), indexing="ij"), axis=-1).reshape(-1, len(free))
+    for _ in range(rounds):
+        near = np.clip(best + moves * step, low, high)
+        values = gain(near)
+        top = int(np.argmax(values))
+        if values[top] > values[len(near) // 2]:
+            best = near[top]
+        else:
+            step = step / 2
+    return {**known, **{k: float(v) for k, v in zip(free, best)}}
 
 
 def longitude(noon_minutes: np.ndarray, eot: np.ndarray, gmt_offset: float, loss: str = "l1") -> float:
@@ -336,29 +340,62 @@ def huber_line(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int
     return float(beta[0]), float(beta[1])
 
 
-def shade_components(matrix: np.ndarray, tau: float = 0.95, stiffness: float = 10.0, loss_weight: float = 0.3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(clear, loss) of a declination-by-time matrix: a smooth upper envelope that is 0 at the ends of the day, and a smooth loss of at least 0.
+#: Rows (declinations) and columns (points of the daylight) for which the weights of the shade problem are stated.
+SHADE_GRID = (47, 256)
+
+
+def shade_components(matrix: np.ndarray, tau: float = 0.95, fit: float = 20.0, stiff: float = 1e3, smooth: float = 500.0, sparse: float = 0.3, mean: np.ndarray | None = None, prior: tuple[np.ndarray, np.ndarray] | None = None, iterations: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """(clear, loss) of a declination-by-time matrix, NaN where nothing is known: one joint problem.
 
-    The envelope of each time of day is a smooth quantile over declinations; the loss is
-    what remains, smoothed along both axes.
+    Least fit * pinball(x - clear + loss) + stiff |second differences of clear over declination|^2
+    + smooth |second differences of loss along both axes|^2 + sparse sum(loss), with clear at
+    least 0, concave over the declination and 0 at both ends of the day, loss at least 0.
+    The weights hold for ``SHADE_GRID``; second differences of a coarser grid count by the
+    fourth power of its width.  With a class prior, ``mean`` of a row and (eigenvalues,
+    vectors), clear - mean is a sum of the vectors and 1/2 of its squares over the eigenvalues is added.
     """
     rows, cols = matrix.shape
-    d2 = np.diff(np.eye(rows), 2, axis=0)
-    p = 2 * stiffness * d2.T @ d2 + 1e-9 * np.eye(rows)
-    clear = np.zeros_like(matrix, dtype=float)
-    from sunloom.kernels.admm import smooth_pinball
-
-    for c in range(1, cols - 1):
-        ok = np.isfinite(matrix[:, c])
-        if ok.any():
-            start = np.full(rows, np.quantile(matrix[ok, c], tau))
-            clear[:, c] = np.maximum(smooth_pinball(np.eye(rows)[ok], matrix[ok, c], tau, p, start, least=1e-5), 0)
-    loss = np.nan_to_num(clear - matrix)
-    for _ in range(rounds):
-        pad = np.pad(loss, 1, mode="edge")
-        mean = (pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:]) / 4
-        new = np.maximum(0.5 * np.nan_to_num(clear - matrix) + 0.5 * mean - loss_weight * 1e-3 * np.abs(clear).max(), 0)
-        if np.abs(new - loss).max() < 1e-8:
-            break
-        loss = new
-    return clear, loss
+    n = rows * cols
+    scale = float(np.nanmax(np.abs(matrix))) or 1.0
+    x, ok = np.nan_to_num(matrix / scale), np.isfinite(matrix)
+    coarse = [(a / b) ** 4 for a, b in zip((rows, cols), SHADE_GRID)]
+    bends = [np.diff(np.eye(k), 2, axis=0) if k > 2 else np.zeros((0, k)) for k in (rows, cols)]
+    down, across = np.kron(bends[0].T @ bends[0], np.eye(cols)), np.kron(np.eye(rows), bends[1].T @ bends[1])
+    p = np.zeros((2 * n, 2 * n))
+    p[:n, :n] = 2 * stiff * coarse[0] * down
+    p[n:, n:] = 2 * smooth * (coarse[0] * down + coarse[1] * across)
+    q = np.r_[np.zeros(n), np.full(n, sparse)]
+    if mean is not None and prior is not None:
+        values, vectors = prior
+        # What the vectors don't span is held at 0, what they do costs by their eigenvalues.
+        each = vectors @ np.diag(1 / np.maximum(values, 1e-12)) @ vectors.T + 1e4 * (np.eye(cols) - vectors @ vectors.T)
+        p[:n, :n] += np.kron(np.eye(rows), each)
+        q[:n] -= np.kron(np.ones(rows), each @ (mean / scale))
+    known = np.flatnonzero(ok.ravel())
+    ends = np.zeros((rows, cols), bool)
+    ends[:, [0, -1]] = True
+    high = np.r_[np.where(ends.ravel(), 0.0, np.inf), np.full(n, np.inf)]
+
+    def to_both(z: np.ndarray) -> np.ndarray:
+        out = np.zeros(2 * n)
+        out[known], out[n + known] = z, -z
+        return out
+
+    def bent(z: np.ndarray) -> np.ndarray:
+        return np.r_[(bends[0].T @ z.reshape(-1, cols)).ravel(), np.zeros(n)]
+
+    seen = np.zeros(n)
+    seen[known] = 1.0
+    apart, whole = np.kron(np.array([[1, -1], [-1, 1]]), np.diag(seen)), np.eye(2 * n)
+    terms = [
+        admm.Term(lambda v: v[known] - v[n + known], to_both, apart, admm.pinball(tau, fit, x.ravel()[known]), len(known)),
+        admm.Term(lambda v: v, lambda z: z, whole, admm.within(0.0, high), 2 * n),
+    ]
+    if rows > 2:
+        concave = np.zeros((2 * n, 2 * n))
+        concave[:n, :n] = down
+        terms.append(admm.Term(lambda v: (bends[0] @ v[:n].reshape(rows, cols)).ravel(), bent, concave, admm.at_most(0.0), (rows - 2) * cols))
+    start = np.r_[np.where(ok, x, 0).ravel(), np.zeros(n)]
+    both = admm.solve(p + 1e-9 * np.eye(2 * n), q, terms, rho=10.0, iterations=iterations, tolerance=1e-5, x0=start)
+    clear, loss = np.clip(both[:n], 0, high[:n]).reshape(rows, cols), np.maximum(both[n:], 0).reshape(rows, cols)
+    return clear * scale, loss * scale

@@ -39,6 +39,24 @@ def daytime(obs: DataFrame, threshold: float = 0.1, quantiles: DataFrame | None
     return obs.join(q, KEYS).withColumn("daytime", F.coalesce(scaled >= threshold, F.lit(False))).drop("capacity", "q05")
 
 
+def quantile_scaled(obs: DataFrame, low: float = 0.0, high: float = 0.99) -> DataFrame:
+    """obs with ``scaled``, 0 at the lower and 1 at the higher quantile of the system, and both quantiles ``at_low`` and ``at_high``."""
+    q = ranks.quantiles(obs, KEYS, "value", {"at_low": low, "at_high": high}).drop("n")
+    return obs.join(q, KEYS).withColumn("scaled", (F.col("value") - F.col("at_low")) / F.nullif(F.col("at_high") - F.col("at_low"), F.lit(0.0)))
+
+
+def quantile_unscaled(scaled: DataFrame) -> DataFrame:
+    """The inverse of ``quantile_scaled``: ``value`` from ``scaled``."""
+    return scaled.withColumn("value", F.col("at_low") + F.col("scaled") * (F.col("at_high") - F.col("at_low"))).drop("scaled", "at_low", "at_high")
+
+
+def capacity_metric(obs: DataFrame, quantile: float = 1.0) -> DataFrame:
+    """(system_id, day, metric): logarithm of a quantile of each day's values, null where it isn't positive."""
+    q = F.max("value") if quantile == 1.0 else F.percentile("value", F.lit(quantile))
+    day = obs.groupBy(*KEYS, "day").agg(q.alias("q"))
+    return day.select(*KEYS, "day", F.when(F.col("q") > 0, F.ln("q")).alias("metric"))
+
+
 def sun_times(marked: DataFrame, m: int) -> DataFrame:
     """(system_id, day, sunrise, sunset, noon) in hours from the first and last sunny slot; null where that is the day's border."""
     first, last = F.min(F.when(F.col("sun"), F.col("slot"))), F.max(F.when(F.col("sun"), F.col("slot")))

@@ -72,3 +72,15 @@ def resample_daylight(marked: DataFrame, n: int) -> DataFrame:
     inside = points.filter((F.col("k") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("k") < F.col("x1"))))
     line = F.when(F.col("x1").isNull(), F.col("value")).otherwise(F.col("value") + (F.col("next_v") - F.col("value")) * (F.col("k") - F.col("x0")) / (F.col("x1") - F.col("x0")))
     return inside.select("system_id", "day", F.col("k").cast("int").alias("k"), line.alias("value")).filter(F.col("k") < n)
+
+
+def undo_daylight(resampled: DataFrame, marked: DataFrame, n: int) -> DataFrame:
+    """Back from ``n`` points of each day's light to its slots: (system_id, day, slot, value), linear between the points, 0 outside the light."""
+    ends = marked.filter("sun AND value IS NOT NULL").groupBy("system_id", "day").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    slots = marked.select("system_id", "day", "slot").join(ends, ["system_id", "day"], "left")
+    x = (F.col("slot") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0)) * (n - 1)
+    placed = slots.withColumns({"x": x, "k": F.least(F.floor(x), F.lit(n - 2)).cast("int")}).filter(F.col("slot").between(F.col("a"), F.col("b")))
+    low, high = resampled.select("system_id", "day", "k", F.col("value").alias("v0")), resampled.select("system_id", "day", (F.col("k") - 1).alias("k"), F.col("value").alias("v1"))
+    met = placed.join(low, ["system_id", "day", "k"]).join(high, ["system_id", "day", "k"])
+    back = met.select("system_id", "day", "slot", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("x") - F.col("k"))).alias("back"))
+    return slots.select("system_id", "day", "slot").join(back, ["system_id", "day", "slot"], "left").select("system_id", "day", "slot", F.coalesce("back", F.lit(0.0)).alias("value"))

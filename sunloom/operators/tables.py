@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunloom.operators.timeaxis import first_of_each_time
@@ -72,6 +72,33 @@ def null_at_bounds(df: DataFrame, bounds: dict[str, tuple[float | None, float |
     return df.withColumns({c: F.when(~hit, F.col(c)) for c in bounds})
 
 
+def partition_plan(files: DataFrame, parts: int, size: str = "size", outlier: float = 10.0) -> DataFrame:
+    """files with ``part`` and ``is_outlier``: parts of about the same total size; outliers are larger than so many times the mean.
+
+    Sizes are summed by hash bucket first, so files are never ordered in one task; a file stays in the part in which it begins.
+    """
+    rows = files.withColumns({"_b": F.pmod(F.xxhash64(*files.columns), F.lit(1024)), "_s": F.coalesce(F.col(size), F.lit(0)).cast("double")})
+    # 1,024 rows at most.
+    sums = rows.groupBy("_b").agg(F.sum("_s").alias("_sum"), F.count("*").alias("_n"))
+    over = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(0))
+    starts = sums.select("_b", F.coalesce(F.sum("_sum").over(over), F.lit(0.0)).alias("_start"), F.sum("_sum").over(whole).alias("_all"), F.sum("_n").over(whole).alias("_files"))
+    within = Window.partitionBy("_b").orderBy(*files.columns).rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.join(F.broadcast(starts), "_b").withColumn("_at", F.col("_start") + F.coalesce(F.sum("_s").over(within), F.lit(0.0)))
+    part = F.least(F.floor(F.col("_at") * parts / F.nullif("_all", F.lit(0.0))), F.lit(parts - 1)).cast("int")
+    return met.select(*files.columns, F.coalesce(part, F.lit(0)).alias("part"), (F.col("_s") > outlier * F.col("_all") / F.col("_files")).alias("is_outlier"))
+
+
+def zip_code(text: Column) -> Column:
+    """The five digits of a zip code, null for any other text."""
+    return F.when(F.btrim(text).rlike("^[0-9]{5}$"), F.btrim(text))
+
+
+def all_levels(first: Column, second: Column) -> Column:
+    """Two lists of levels as one, sorted, each level once."""
+    return F.array_sort(F.array_union(first, second))
+
+
 def option_grid(spark: SparkSession, options: dict[str, list]) -> DataFrame:
     """All combinations of a study's few options, as a table."""
     return spark.createDataFrame(list(product(*options.values())), list(options))

@@ -40,6 +40,13 @@ def reduce_clusters(df: DataFrame, keys: list[str], order: str, mask: str, metri
     return marked.filter(F.col(mask)).groupBy(*keys, "_c").agg(best.alias("b")).select(*keys, f"b.{order}", f"b.{metric}")
 
 
+def running_total(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, order, value, start, total): the sum up to each row, and where it starts (the offset of a waterfall's bar)."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w)
+    return df.select(*keys, order, value, total.alias("total")).withColumn("start", F.col("total") - F.coalesce(F.col(value), F.lit(0.0)))
+
+
 def lag_change(df: DataFrame, keys: list[str], order: str, value: str, lag: int = 365) -> DataFrame:
     """(keys, order, change): (value - value ``lag`` rows before) / value."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sunloom.functions import solar
 from sunloom.operators import daily, rebin, stats, tables, timeaxis, windows
+from sunloom.plans import studies
 from sunloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,6 +432,51 @@ def w_segment_differences(spark, folder):
     return windows.segment_differences(m, ["u"], "e", "v")
 
 
+@query(f"""WITH {_DAILY} SELECT k, day, round(value, 2) AS value, round(sum(value) OVER w, 2) AS total, round(sum(value) OVER w - value, 2) AS start FROM rev WINDOW w AS (PARTITION BY k ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def w_running_total(spark, folder):
+    x = windows.running_total(revenue(spark, folder), ["k"], "day", "value")
+    return x.select("k", "day", *[r(F.col(c), 2).alias(c) for c in ("value", "total", "start")])
+
+
+@query(f"""WITH {_OBS}, q AS (SELECT system_id, min(value) AS a, quantile_cont(value, 0.99) AS b FROM obs GROUP BY 1)
+SELECT system_id, day, slot, round((value - a) / nullif(b - a, 0), 6) AS scaled, round(value, 6) AS value FROM obs JOIN q USING (system_id)""")
+def m_scale_and_back(spark, folder):
+    x = daily.quantile_scaled(obs(spark, folder)).drop("value")
+    back = daily.quantile_unscaled(x.withColumn("kept", F.col("scaled")))
+    return back.select("system_id", "day", "slot", r(F.col("kept")).alias("scaled"), r(F.col("value")).alias("value"))
+
+
+@query(f"""WITH {_OBS}, t AS (SELECT system_id, max(value) * 0.2 AS least FROM obs GROUP BY 1)
+SELECT obs.system_id, day, CAST(count(*) FILTER (WHERE value > least) AS DOUBLE) AS hours FROM obs JOIN t ON t.system_id = obs.system_id GROUP BY 1, 2""")
+def a_hours_of_daylight(spark, folder):
+    return studies.hours_of_daylight(obs(spark, folder), M, 0.2)
+
+
+@query(f"WITH {_OBS} SELECT system_id, day, round(CASE WHEN quantile_cont(value, 0.9) > 0 THEN ln(quantile_cont(value, 0.9)) END, 6) AS metric FROM obs GROUP BY 1, 2")
+def a_capacity_metric(spark, folder):
+    return daily.capacity_metric(obs(spark, folder), 0.9).withColumn("metric", r(F.col("metric")))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE extract(doy FROM o_orderdate) > 79 AND extract(doy FROM o_orderdate) < 172")
+def f_day_range(spark, folder):
+    return studies.day_range(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), 79, 172, "o_orderdate")
+
+
+@query("""SELECT json_id, CASE WHEN regexp_full_match(z, '[0-9]{5}') THEN z END AS zip FROM (SELECT json_id, regexp_extract(json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.Site.location'), '([0-9]{5})$', 1) AS z FROM site_json)""")
+def x_zip_code(spark, folder):
+    location = F.get_json_object("body", "$.Site.location")
+    return table(spark, folder, "site_json").select("json_id", tables.zip_code(F.regexp_extract(location, "([0-9]{5})$", 1)).alias("zip"))
+
+
+@query(f"""WITH {_OBS}, y AS (SELECT system_id, CAST(extract(doy FROM day) AS INTEGER) AS doy, avg(value) AS mean FROM obs GROUP BY 1, 2), e AS (SELECT system_id, doy, max(mean) AS seen FROM y WHERE doy % 3 = 0 GROUP BY 1, 2)
+SELECT y.system_id, y.doy, round(mean, 6) AS mean, round(seen, 6) AS seen FROM y LEFT JOIN e ON e.system_id = y.system_id AND e.doy = y.doy""")
+def j_year_with_empirical(spark, folder):
+    y = obs(spark, folder).groupBy("system_id", F.dayofyear("day").alias("doy")).agg(F.avg("value").alias("mean"))
+    seen = y.filter("doy % 3 = 0").withColumnRenamed("mean", "seen")
+    x = studies.with_empirical(y, seen, ["system_id"])
+    return x.select("system_id", "doy", r(F.col("mean")).alias("mean"), r(F.col("seen")).alias("seen"))
+
+
 # --- re-binning and statistics
 
 

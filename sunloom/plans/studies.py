@@ -6,6 +6,8 @@ call of a system, so the cost grows with systems times options.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,33 +89,96 @@ def _study(results: DataFrame, parts: list[tuple], value: str, options: list[str
     return out.withColumn("residual", F.lit(truth).cast("double") - F.col(value))
 
 
-def orientation(obs: DataFrame, results: DataFrame, m: int, latitude: float, longitude: float, gmt_offset: float, share: float = 0.15) -> DataFrame:
-    """(system_id, tilt, azimuth, n): the plane whose incidence fits the clear days' power over its daily amplitude best."""
+def sun_sums(obs: DataFrame, results: DataFrame, m: int, longitude: float | str, gmt_offset: float | str, share: float = 0.15) -> DataFrame:
+    """(system_id, n, a00..a22, b0..b2): all that a least-squares fit of an orientation needs of the clear days' bright slots, in one aggregation.
+
+    The cosine of incidence is linear in sin(d), cos(d) cos(w) and cos(d) sin(w) of
+    declination and hour angle; a are the sums of their products, b those with the power.
+    """
+    here = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
     doy = F.dayofyear("day").cast("double")
-    declination = solar.declination_spencer(doy)
-    omega = solar.hour_angle(F.col("slot") * 24.0 / m, F.lit(longitude), F.lit(gmt_offset), solar.eot_duffie(doy))
-    clear = results.filter("is_clear AND NOT clipped").select(*KEYS, "day", "top")
-    # Numbers of a system's clear daytime slots, evenly thinned by a hash to a bounded sample for the fit.
-    lit = obs.join(clear, [*KEYS, "day"]).filter(F.col("value") > share * F.col("top")).select(*KEYS, declination.alias("delta"), omega.alias("omega"), "value", F.xxhash64("day", "slot").alias("h"))
-    sample = lit.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("h"))).filter("r <= 5000")
+    d = F.radians(solar.declination_spencer(doy))
+    w = F.radians(solar.hour_angle(F.col("slot") * 24.0 / m, here(longitude), here(gmt_offset), solar.eot_duffie(doy)))
+    extra = [c for c in (longitude, gmt_offset) if isinstance(c, str)]
+    clear = results.filter("is_clear AND NOT coalesce(clipped, false)").select(*KEYS, "day", "top", *extra)
+    lit = obs.join(clear, [*KEYS, "day"]).filter(F.col("value") > share * F.col("top"))
+    q = lit.select(*KEYS, F.sin(d).alias("q0"), (F.cos(d) * F.cos(w)).alias("q1"), (F.cos(d) * F.sin(w)).alias("q2"), "value")
+    products = [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)]
+    return q.groupBy(*KEYS).agg(F.count("*").alias("n"), *products, *[F.sum(F.col(f"q{i}") * F.col("value")).alias(f"b{i}") for i in range(3)])
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.value.to_numpy(float)
-        scale, fit = np.quantile(v, 0.98), (20.0, 0.0)
-        for _ in range(3):
-            fit = detect.tilt_azimuth(v / scale, pdf.delta.to_numpy(float), pdf.omega.to_numpy(float), latitude, fit)
-            model = _incidence(pdf.delta.to_numpy(float), pdf.omega.to_numpy(float), latitude, *fit)
-            scale = float((v * model).sum() / max((model**2).sum(), 1e-12))
-        return pd.DataFrame({"system_id": [pdf.system_id.iloc[0]], "tilt": [fit[0]], "azimuth": [fit[1]], "n": [len(v)]})
 
-    return spread(sample.select(*KEYS, "delta", "omega", "value"), *KEYS).groupBy(*KEYS).applyInPandas(kernel, "system_id string, tilt double, azimuth double, n long")
+def orientation(obs: DataFrame, results: DataFrame, m: int, latitude: float | str, longitude: float | str, gmt_offset: float | str, share: float = 0.15) -> DataFrame:
+    """(system_id, tilt, azimuth, n): the plane whose incidence, times an amplitude, fits the clear days' bright slots best; all of them count.
+
+    At a known latitude the fit is linear: three unknowns, solved from the sums.  Places may be
+    numbers or columns (latitude of ``obs`` or ``results``, the others of ``results``).
+    """
+    extra = [latitude] if isinstance(latitude, str) else []
+    known = results.select(*KEYS, *extra).distinct() if extra else None
+    sums = sun_sums(obs, results, m, longitude, gmt_offset, share)
+    sums = sums.join(known, KEYS) if extra else sums
+    a = {(i, j): F.col(f"a{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
+    b = [F.col(f"b{i}") for i in range(3)]
+
+    def det(c: list[list[Column]]) -> Column:
+        return c[0][0] * (c[1][1] * c[2][2] - c[1][2] * c[2][1]) - c[0][1] * (c[1][0] * c[2][2] - c[1][2] * c[2][0]) + c[0][2] * (c[1][0] * c[2][1] - c[1][1] * c[2][0])
+
+    whole = F.nullif(det([[a[i, j] for j in range(3)] for i in range(3)]), F.lit(0.0))
+    solved = sums.withColumns({f"c{k}": det([[b[i] if j == k else a[i, j] for j in range(3)] for i in range(3)]) / whole for k in range(3)})
+    la = F.radians(F.col(latitude) if extra else F.lit(latitude))
+    # Back from the sun's coordinates to up, south and west of the place.
+    up, south, west = F.sin(la) * F.col("c0") + F.cos(la) * F.col("c1"), F.sin(la) * F.col("c1") - F.cos(la) * F.col("c0"), F.col("c2")
+    return solved.select(*KEYS, F.degrees(F.atan2(F.hypot(south, west), up)).alias("tilt"), F.degrees(F.atan2(west, south)).alias("azimuth"), "n")
 
 
-def _incidence(delta: np.ndarray, omega: np.ndarray, latitude: float, tilt: float, azimuth: float) -> np.ndarray:
-    d, w, la, b, g = (np.radians(x) for x in (delta, omega, latitude, tilt, azimuth))
-    up = np.sin(d) * np.sin(la) + np.cos(d) * np.cos(la) * np.cos(w)
-    south = np.cos(d) * np.sin(la) * np.cos(w) - np.sin(d) * np.cos(la)
-    return np.cos(b) * up + np.sin(b) * (np.cos(g) * south + np.sin(g) * np.cos(d) * np.sin(w))
+#: Bounds in degrees of what an orientation fit may look for.
+ANGLE_BOUNDS = {"latitude": (-90.0, 90.0), "tilt": (0.0, 90.0), "azimuth": (-180.0, 180.0)}
+
+
+def orientation_with(sums: DataFrame, latitude: str | None = None, tilt: str | None = None, azimuth: str | None = None, name: str = "fit") -> DataFrame:
+    """(system_id, latitude, tilt, azimuth, n): the angles that are not known, for any set of known ones (columns of ``sums``).
+
+    Incidence has two degrees of freedom: of three unknown angles one choice among equally good ones is returned.
+    """
+    known = {k: v for k, v in (("latitude", latitude), ("tilt", tilt), ("azimuth", azimuth)) if v is not None}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+                fixed = {k: float(r[v]) for k, v in known.items()}
+                rows.append({"system_id": r["system_id"], **detect.best_angles(a, np.array([r["b0"], r["b1"], r["b2"]]), fixed, ANGLE_BOUNDS), "n": r["n"]})
+            yield pd.DataFrame(rows, columns=["system_id", "latitude", "tilt", "azimuth", "n"])
+
+    return sums.mapInPandas(run, "system_id string, latitude double, tilt double, azimuth double, n long")
+
+
+def day_range(df: DataFrame, low: int, high: int, day: str = "day") -> DataFrame:
+    """Rows whose day of the year is between two, both left out; a range over the year's end selects nothing."""
+    return df.filter((F.dayofyear(day) > low) & (F.dayofyear(day) < high))
+
+
+def tilt_azimuth_study(obs: DataFrame, results: DataFrame, m: int, latitude: float, longitude: float, gmt_offset: float, ranges: list[tuple[int, int]], shares: list[float], true_tilt: float | None = None, true_azimuth: float | None = None) -> DataFrame:
+    """(system_id, first_day, last_day, share, tilt, azimuth, n, tilt_residual, azimuth_residual) over ranges of days and least parts of the daily maximum."""
+    parts = []
+    for low, high in ranges:
+        for share in shares:
+            fit = orientation(obs, day_range(results, low, high), m, latitude, longitude, gmt_offset, share)
+            parts.append(fit.select(*KEYS, F.lit(low).alias("first_day"), F.lit(high).alias("last_day"), F.lit(share).alias("share"), "tilt", "azimuth", "n"))
+    out = tables.concat(parts)
+    return out.withColumns({"tilt_residual": F.lit(true_tilt).cast("double") - F.col("tilt"), "azimuth_residual": F.lit(true_azimuth).cast("double") - F.col("azimuth")})
+
+
+def best_first(study: DataFrame, residual: str = "residual") -> DataFrame:
+    """A study's rows by the size of their residual, those without one last."""
+    return study.orderBy(F.abs(residual).asc_nulls_last())
+
+
+def hours_of_daylight(obs: DataFrame, m: int, share: float = 0.001) -> DataFrame:
+    """(system_id, day, hours): slots above a part of the system's largest value, times their length."""
+    top = obs.groupBy(*KEYS).agg((F.max("value") * share).alias("least"))
+    return obs.join(top, KEYS).groupBy(*KEYS, "day").agg((F.count_if(F.col("value") > F.col("least")) * 24.0 / m).alias("hours"))
 
 
 def polar(obs: DataFrame, m: int, latitude: float, longitude: float, gmt_offset: float, cell: float = 5.0, how: str = "avg") -> DataFrame:
@@ -162,11 +227,10 @@ def declination_profiles(resampled: DataFrame, clear: DataFrame) -> DataFrame:
 
 
 def shade(profiles: DataFrame) -> DataFrame:
-    """(system_id, delta, k, clear, loss): what shade takes at each declination and time of day."""
+    """(system_id, delta, k, clear, loss): what shade takes at each declination and time of day, by the joint decomposition of the profiles."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = pdf.pivot_table(index="delta", columns="k", values="value").reindex(range(int(pdf.delta.min()), int(pdf.delta.max()) + 1))
-        grid = grid.interpolate(limit_direction="both")
         clear, loss = detect.shade_components(grid.to_numpy(float))
         at = np.indices(grid.shape)
         return pd.DataFrame({"system_id": pdf.system_id.iloc[0], "delta": grid.index.to_numpy()[at[0].ravel()], "k": grid.columns.to_numpy()[at[1].ravel()], "clear": clear.ravel(), "loss": loss.ravel()})
@@ -174,6 +238,42 @@ def shade(profiles: DataFrame) -> DataFrame:
     return spread(profiles, *KEYS).groupBy(*KEYS).applyInPandas(kernel, "system_id string, delta int, k int, clear double, loss double")
 
 
+def shade_of_days(days: DataFrame, components: DataFrame, share: float = 0.02) -> DataFrame:
+    """(system_id, day, k, part): the part of the clear power that shade takes on each day, looked up by the day's declination.
+
+    0 where the clear power is under a part of the system's 98 % quantile.
+    """
+    delta = F.bround(solar.declination_cooper(F.dayofyear("day").cast("double"))).cast("int")
+    least = components.groupBy(*KEYS).agg((share * F.percentile("clear", F.lit(0.98))).alias("least"))
+    found = components.join(least, KEYS).withColumn("part", F.when(F.col("clear") >= F.col("least"), F.col("loss") / F.nullif("clear", F.lit(0.0))).otherwise(0.0))
+    return days.select(*KEYS, "day", delta.alias("delta")).join(found.select(*KEYS, "delta", "k", "part"), [*KEYS, "delta"]).select(*KEYS, "day", "k", "part")
+
+
+def with_empirical(year: DataFrame, empirical: DataFrame, keys: list[str]) -> DataFrame:
+    """A year's analysis by day of the year with what was measured then, null where nothing was."""
+    return year.join(empirical, [*keys, "doy"], "left")
+
+
+def class_prior(corpus: DataFrame, condition: Column | str, values: str = "values", rank: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, leading eigenvalues, their vectors as columns) of the covariance of the corpus' rows that meet a condition, arrays of one length.
+
+    Sums of products are aggregated; only a matrix as wide as a row reaches the driver.
+    """
+    rows = corpus.filter(condition).select(F.monotonically_increasing_id().alias("id"), F.posexplode(values).alias("i", "x"))
+    one = rows.groupBy("i").agg(F.sum("x").alias("s"), F.count("*").alias("n")).orderBy("i").collect()
+    size, n = len(one), one[0]["n"] if one else 0
+    arrays = corpus.filter(condition).select(F.posexplode(values).alias("i", "x"), F.col(values).alias("v"))
+    two = arrays.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    mean = np.array([r["s"] for r in one]) / max(n, 1)
+    cov = np.zeros((size, size))
+    for r in two.collect():
+        cov[r["i"], r["j"]] = r["s"]
+    cov = (cov - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values_, vectors = np.linalg.eigh(cov)
+    lead = np.argsort(values_)[::-1][:rank]
+    return mean, values_[lead], vectors[:, lead]
+
+
 # --- parameter series
 
 

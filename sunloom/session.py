@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import platform
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,39 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+#: Named ways to get a session: functions of settings.
+CLIENTS: dict[str, Callable[..., SparkSession]] = {"local": local_session}
+
+
+def client(name: str):
+    """Register a way to get a session, as of a cluster, by name."""
+
+    def add(f: Callable[..., SparkSession]) -> Callable[..., SparkSession]:
+        CLIENTS[name] = f
+        return f
+
+    return add
+
+
+@client("cluster")
+def cluster_session(master: str, checkpoint: str, **settings: str) -> SparkSession:
+    """A session on a cluster; ``checkpoint`` is a folder that all executors share."""
+    builder = SparkSession.builder.master(master).appName("sunloom").config("spark.checkpoint.dir", checkpoint).config("spark.sql.session.timeZone", "UTC")
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def versions() -> dict[str, str]:
+    """Versions that results depend on, to be kept with them."""
+    import numpy
+    import pandas
+    import pyarrow
+    import pyspark
+
+    return {m.__name__: m.__version__ for m in (numpy, pandas, pyarrow, pyspark)} | {"python": platform.python_version()}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; in local mode, where none is set (tests), one of this machine."""
     sc = spark.sparkContext

@@ -145,10 +145,29 @@ def resume(keys: DataFrame, path: str, on: list[str]) -> DataFrame:
     return not_done(keys, spark.read.parquet(path), on)
 
 
+def merge_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results of all runs that wrote to a folder, as one table."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def time_column(df: DataFrame, named: str | None = None) -> str:
+    """The named column, else the first one whose name holds "time"; an error if there is none."""
+    found = [named] if named in df.columns else [c for c in df.columns if "time" in c.lower()]
+    if not found:
+        raise ValueError(f"no time column among {df.columns}")
+    return found[0]
+
+
+def with_times(df: DataFrame, named: str | None = None, pattern: str | None = None) -> DataFrame:
+    """df with ``ts``, its time column's texts as timestamps; unreadable ones are null."""
+    return df.withColumn("ts", F.try_to_timestamp(F.col(time_column(df, named)), *([F.lit(pattern)] if pattern else [])).cast("timestamp_ntz"))
+
+
 class SyntheticSource(DataSource):
     """Simulated power of a few systems as a data source: ``spark.read.format("sunloom_synthetic")``.
 
-    Options: systems, days, step (minutes), seed, soiling (rate a day).  Each system is a
+    Options: systems, days, step (minutes), seed, soiling (rate a day), seasonal (part by which
+    the rate and the chance of cleaning swing over the year).  Each system is a
     partition, and its numbers depend only on the seed and its own number.
     """
 
@@ -176,14 +195,16 @@ class _SyntheticReader(DataSourceReader):
         import numpy as np
 
         i, o = partition.value, self.options
-        days, step, rate = int(o.get("days", 365)), int(o.get("step", 60)), float(o.get("soiling", 0.0))
+        days, step, rate, swing = int(o.get("days", 365)), int(o.get("step", 60)), float(o.get("soiling", 0.0)), float(o.get("seasonal", 0.0))
         rng = np.random.default_rng([int(o.get("seed", 0)), i])
         start, dirt = datetime(2020, 1, 1), 0.0
         lat = np.radians(25 + 20 * rng.random())
         for d in range(days):
             dec = np.radians(23.45 * np.sin(2 * np.pi * (d + 285) / 365))
             half = np.degrees(np.arccos(np.clip(-np.tan(lat) * np.tan(dec), -1, 1))) / 15
-            dirt = 0.0 if rng.random() < 0.02 else min(dirt + rate, 0.3)
+            # Dry summers: more dirt and less rain.
+            season = swing * np.sin(2 * np.pi * (d - 80) / 365)
+            dirt = 0.0 if rng.random() < 0.02 * (1 - season) else min(dirt + rate * (1 + season), 0.3)
             h = np.arange(0, 24, step / 60)
             light = np.where(np.abs(h - 12) < half, np.cos((h - 12) / half * np.pi / 2), 0)
             cloud = 1.0 if rng.random() < 0.5 else rng.uniform(0.3, 1, len(h))

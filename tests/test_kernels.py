@@ -106,7 +106,9 @@ def test_location_fits():
     d, w, la, b, g = rng.uniform(-23, 23, 200), rng.uniform(-60, 60, 200), 37.5, np.radians(22.5), np.radians(15.0)
     rd, rw, rl = np.radians(d), np.radians(w), np.radians(la)
     c = np.sin(rd) * np.sin(rl) * np.cos(b) - np.sin(rd) * np.cos(rl) * np.sin(b) * np.cos(g) + np.cos(rd) * np.cos(rl) * np.cos(b) * np.cos(rw) + np.cos(rd) * np.sin(rl) * np.sin(b) * np.cos(g) * np.cos(rw) + np.cos(rd) * np.sin(b) * np.sin(g) * np.sin(rw)
-    tilt, azimuth = detect.tilt_azimuth(c, d, w, la)
+    q = np.stack([np.sin(rd), np.cos(rd) * np.cos(rw), np.cos(rd) * np.sin(rw)], axis=1)
+    got = detect.best_angles(q.T @ q, q.T @ c, {"latitude": la}, {"latitude": (-90.0, 90.0), "tilt": (0.0, 90.0), "azimuth": (-180.0, 180.0)})
+    tilt, azimuth = got["tilt"], got["azimuth"]
     assert tilt == pytest.approx(22.5, abs=0.01) and azimuth == pytest.approx(15.0, abs=0.01)
     slope, cut = detect.huber_line(np.arange(50.0), np.r_[3 * np.arange(49.0) + 1, 1e4])
     assert slope == pytest.approx(3, abs=0.05) and cut == pytest.approx(1, abs=0.5)

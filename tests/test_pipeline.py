@@ -177,7 +177,7 @@ def test_errors_stay_with_their_system(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s", datetime(2021, 1, 1 + i // 24, i % 24), float(i % 24)) for i in range(24 * 6)]
-    rows += rows[:10] + [("s", None, 1.0), ("s", datetime(2021, 1, 2), None)]
+    rows += rows[:10] + [(s, t, v + 5) for s, t, v in rows[10:20]] + [(s, t, v - 5) for s, t, v in rows[20:30]] + [("s", None, 1.0), ("s", datetime(2021, 1, 2), None)]
     batch = spark.createDataFrame(rows, "system_id string, ts timestamp, value double")
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     want = {(r.day, r.n, r.energy, r.top) for r in daily_stream(batch, 24.0).collect()}
