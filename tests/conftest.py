@@ -1,3 +1,9 @@
+import os
+
+# Before NumPy is loaded: one thread for its linear algebra, which else may wait for its own threads beside the JVM.
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
 import sys
 from pathlib import Path
 
