@@ -85,3 +85,16 @@ def test_pieces_between_given_ends_are_optimal():
     bends = np.diff(fit, 2)
     assert np.abs(v).max() <= 5 * (1 + 1e-5)
     assert np.allclose(v[1:-1][np.abs(bends) > 1e-9], 5 * np.sign(bends[np.abs(bends) > 1e-9]), atol=1e-3)
+
+
+def test_bounded_pinball_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    for n in (4, 12, 40, 300):
+        a = np.hstack([dc.fourier(n, 2), dc.sawteeth(n, 6)])
+        y = 1 + 0.1 * rng.standard_normal(n)
+        p, q = np.r_[0.0, np.full(4, 1e-2), np.full(a.shape[1] - 5, 1e-8)], np.r_[np.zeros(5), np.full(a.shape[1] - 5, 0.05)]
+        low, high = np.r_[np.full(5, -np.inf), np.zeros(a.shape[1] - 5)], np.full(a.shape[1], np.inf)
+        value = lambda x: (np.maximum(0.9 * (r := y - a @ x), -0.1 * r)).sum() + q @ x + 0.5 * (p * x * x).sum()  # noqa: E731, B023
+        x = dc.bounded_pinball(a, y, 0.9, p, q, low, high)
+        split = admm.solve(np.diag(p), q, [admm.dense_term(a, admm.pinball(0.9, 1.0, y)), admm.dense_term(np.eye(len(p)), admm.within(low, high))], rho=2.0, iterations=700, tolerance=2e-5)
+        assert (x >= low).all() and value(x) <= value(np.clip(split, low, high)) + 1e-5
