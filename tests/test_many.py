@@ -98,3 +98,40 @@ def test_bounded_pinball_is_at_its_optimum():
         x = dc.bounded_pinball(a, y, 0.9, p, q, low, high)
         split = admm.solve(np.diag(p), q, [admm.dense_term(a, admm.pinball(0.9, 1.0, y)), admm.dense_term(np.eye(len(p)), admm.within(low, high))], rho=2.0, iterations=700, tolerance=2e-5)
         assert (x >= low).all() and value(x) <= value(np.clip(split, low, high)) + 1e-5
+
+
+def test_products_are_their_columns():
+    length, days = 9, 5
+    basis, _ = dc.multi_periodic_basis(length * days, length, (3, 2))
+    day = np.hstack([np.ones((length, 1)), basis[:length, 1::5]])
+    wide = many.Products(day, dc.fourier(length * days, 2, dc.YEAR * length).reshape(days, length, -1).transpose(1, 0, 2))
+    full = basis[np.arange(length * days).reshape(days, length).T.ravel()]
+    rng = np.random.default_rng(0)
+    z, v = rng.random((4, basis.shape[1])), rng.random((length * days, 4))
+    assert np.allclose(wide.times(z), full @ z.T)
+    assert np.allclose(wide.back(v), v.T @ full)
+    assert np.allclose(wide.gram(v), np.einsum("nb,ni,nj->bij", v, full, full))
+    assert (wide.top >= np.abs(full).max(axis=1) - 1e-12).all()
+
+
+def test_quantiles_of_dilated_days_are_at_their_optimum_and_fast():
+    rng = np.random.default_rng(4)
+    length, bump = 101, np.sin(np.linspace(0, np.pi, 101))
+    asked = []
+    for n in rng.integers(1, 25, 60):
+        y = (50 * bump * (1 - 0.7 * rng.random((n, length)) ** 3)).ravel()
+        y[rng.random(len(y)) < 0.05] = np.nan
+        asked.append((y, 0.9, length, (8, 2), 0.1))
+    began = time.process_time()
+    found = dc.multi_periodic_quantiles(asked)
+    took, earlier = time.process_time() - began, 0.0
+    for (y, level, *_), fit in list(zip(asked, found))[::6]:
+        basis, weight = dc.multi_periodic_basis(len(y), length, (8, 2))
+        ok, p = np.isfinite(y), (0.1 * weight) ** 2 + 1e-9
+        began = time.process_time()
+        x = admm.smooth_pinball(basis[ok], y[ok], level, np.diag(p), np.r_[np.quantile(y[ok], level), np.zeros(len(p) - 1)], least=1e-4)
+        earlier += 6 * (time.process_time() - began)
+        z = np.linalg.solve(basis.T @ basis + 1e-9 * np.diag(p), basis.T @ fit)
+        value = lambda f, x: np.maximum(level * (r := (y - f)[ok]), (level - 1) * r).sum() + 0.5 * p @ (x * x)  # noqa: E731, B023
+        assert value(fit, z) <= value(basis @ x, x) * (1 + 1e-6) + 1e-9
+    assert took < earlier / 1.5

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sunloom.kernels import days, detect
 from sunloom.operators import daily, rebin, tables
-from sunloom.plans import analyses, pipeline
+from sunloom.plans import analyses, pipeline, studies
+from sunloom.session import cut_lineage
 from sunloom.sources import readers
 from sunloom.streaming.daily import daily_stream
 
@@ -207,3 +208,17 @@ def test_sources(spark, tmp_path):
     assert readers.resume(keys, out, ["system_id"]).count() == 2
     readers.write_results(s.filter("system_id = 'system_0'").limit(1), out, ["system_id"])
     assert [r.system_id for r in readers.resume(keys, out, ["system_id"]).collect()] == ["system_1"]
+
+
+def test_performance_in_one_call_is_the_index_by_the_clear_sky_model(spark):
+    # One system of some days, one that begins in the middle of a day, and one that never shines.
+    df = spark.sql("""SELECT s AS system_id, timestamp_ntz'2021-05-01' + make_interval(0, 0, 0, 0, 0, 30 * i) AS ts, CASE WHEN s = 'dark' THEN 0D WHEN s = 'late' AND i < 30 THEN NULL ELSE greatest(0D, sin(((i % 48) - 12) / 24 * pi())) * (40 + hash(i, s) % 9) END AS value
+        FROM (SELECT explode(sequence(0, 48 * 9 - 1)) AS i) CROSS JOIN VALUES ('whole'), ('late'), ('dark') AS t(s)""")
+    grid = cut_lineage(pipeline.gridded_days(df, 30).withColumn("step_minutes", F.lit(30)))
+    got = pipeline.performance(grid)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    results = cut_lineage(pipeline.analyse(grid))
+    want = studies.performance_index(pipeline.slots_of(results), pipeline.clear_sky(results, 48, harmonics=(8, 2)))
+    got, want = ({(r.system_id, r.day): r["index"] for r in x.collect()} for x in (got, want))
+    assert got.keys() == want.keys() and len(got) >= 18
+    assert all((want[k] is None) == (got[k] is None) and (got[k] is None or got[k] == pytest.approx(want[k], rel=1e-8)) for k in want)
