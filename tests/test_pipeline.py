@@ -222,3 +222,13 @@ def test_performance_in_one_call_is_the_index_by_the_clear_sky_model(spark):
     got, want = ({(r.system_id, r.day): r["index"] for r in x.collect()} for x in (got, want))
     assert got.keys() == want.keys() and len(got) >= 18
     assert all((want[k] is None) == (got[k] is None) and (got[k] is None or got[k] == pytest.approx(want[k], rel=1e-8)) for k in want)
+
+
+def test_soiling_in_one_call_is_that_of_the_daily_results(spark):
+    df = readers.synthetic(spark, systems=3, days=12, step=60, soiling=0.01, seed=3)
+    grid = cut_lineage(pipeline.gridded_days(df, 60).withColumn("step_minutes", F.lit(60)))
+    got, want = pipeline.soiling(grid), pipeline.soiling_analysis(pipeline.analyse(grid))
+    assert got.columns == want.columns and "FlatMapGroupsInPandas" not in want._jdf.queryExecution().toString()
+    got, want = ({(r.system_id, r.day): r for r in x.collect()} for x in (got, want))
+    assert got.keys() == want.keys() and len(got) == 36
+    assert all(got[k].energy == pytest.approx(want[k].energy) and got[k].corrected == pytest.approx(want[k].corrected, rel=1e-3) and got[k].soiling <= 0 for k in want)
