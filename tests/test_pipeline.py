@@ -224,6 +224,43 @@ def test_performance_in_one_call_is_the_index_by_the_clear_sky_model(spark):
     assert all((want[k] is None) == (got[k] is None) and (got[k] is None or got[k] == pytest.approx(want[k], rel=1e-8)) for k in want)
 
 
+def test_a_failure_is_no_performance_index(monkeypatch):
+    def broken(*_):
+        raise ValueError("no luck")
+
+    def rows():
+        systems = [(np.arange(20), 10.0), (np.arange(12), 5.0), (np.arange(0), 1.0)]
+        jobs = [pipeline.analyse_fits(d, [np.arange(24)] * len(d), [v * day * (1 + 0.1 * np.sin(i)) for i in d], 24, labels=False) for d, v in systems]
+        return pipeline._performance_batch(["a", "b", "none"], [pipeline.performance_job(f, 101, 0.9, (8, 2)) for f in jobs]).to_pandas()
+
+    day = np.clip(np.cos((np.arange(24) - 12) / 6 * np.pi / 2), 0, None)
+    good = rows()
+    assert good[good.system_id != "none"]["index"].notna().sum() == 32 and good[good.system_id != "none"].error.isna().all()
+    last = good[good.system_id == "none"]
+    assert len(last) == 1 and last.day.isna().all() and last["index"].isna().all() and last.error.iloc[0] == "ValueError: no values"
+    # Neither the clock as it was nor a day without known daylight makes an index.
+    for stage, where, name in (("shifts", detect, "clock_shifts_fits"), ("quality", detect, "quality_fits"), ("daytime", days, "sun_fits")):
+        with monkeypatch.context() as patch:
+            patch.setattr(where, name, broken)
+            got = rows()
+        got = got[got.system_id != "none"]
+        assert len(got) == 32 and got["index"].isna().all() and got.error.str.startswith(f"{stage}: ValueError: no luck").all()
+    with monkeypatch.context() as patch:
+        patch.setattr(pipeline, "performance_fits", broken)
+        assert rows().error.tolist() == ["ValueError: no luck"] * 2 + ["ValueError: no values"]
+
+
+def test_days_without_daytime_have_no_results(monkeypatch):
+    def broken(*_):
+        raise ValueError("no luck")
+
+    monkeypatch.setattr(days, "sun_fits", broken)
+    day = np.clip(np.cos((np.arange(24) - 12) / 6 * np.pi / 2), 0, None)
+    out = pipeline.analyse_system(np.arange(10), [np.arange(24)] * 10, [day] * 10, 24)
+    assert len(out) == 10 and (out.error == "daytime: ValueError: no luck").all()
+    assert out[["energy", "sunrise", "filled", "no_errors", "is_clear", "roll", "time_zone_correction"]].isna().all().all()
+
+
 def test_soiling_in_one_call_is_that_of_the_daily_results(spark):
     df = readers.synthetic(spark, systems=3, days=12, step=60, soiling=0.01, seed=3)
     grid = cut_lineage(pipeline.gridded_days(df, 60).withColumn("step_minutes", F.lit(60)))
