@@ -180,3 +180,79 @@ def test_five_bands_by_blocks_are_the_solution():
         for k, x in enumerate(dc._five_bands(d0, d1, d2, right)):
             h = np.diag(d0[k]) + np.diag(d1[k], 1) + np.diag(d1[k], -1) + (np.diag(d2[k], 2) + np.diag(d2[k], -2) if n > 2 else 0)
             assert np.allclose(x, np.linalg.solve(h, right[k]))
+
+
+def test_soiling_teeth_are_those_of_30_waves_in_two_phases():
+    b, spans = dc.soiling_teeth(730)
+    # The constant, and k teeth of k periods, cut at their tops; half a period more in the other phase.
+    assert (b[:, 0] == -1).all() and b.max() <= 0 and b.min() == -1
+    assert 2 * sum(range(2, 32)) <= b.shape[1] <= 1 + 2 * sum(range(2, 32)) + 60
+    assert all((b[:lo, j] == 0).all() and (b[hi:, j] == 0).all() for j, (lo, hi) in enumerate(spans))
+    whole = b[:, [lo == 0 and 360 < hi < 370 for lo, hi in spans]]
+    assert whole.shape[1] == 1 and np.allclose(np.diff(whole[:364, 0]), -2 / 729)
+
+
+def test_loss_fits_are_at_their_optimum_alone_and_together():
+    rng = np.random.default_rng(8)
+    asked = []
+    for n in (1, 4, 9, 9, 16, 25):
+        energy = np.exp(3 + 0.1 * rng.standard_normal(n) - 0.03 * (np.arange(n) % 7))
+        labels = (np.arange(n) >= 5).astype(int) * (n > 4)
+        use = rng.random((3, n)) < 0.8
+        use[:, 0] = True
+        asked.append((dc.loss_problem(energy, labels), rng.uniform(0.85, 0.95, 3), rng.uniform(0.1, 1.0, 3), use, 0.02, True))
+    found = dc.loss_fits(asked)
+    for a, (x, s) in zip(asked, found):
+        problem, n = a[0], len(a[0]["log"])
+        b, f = dc.soiling_teeth(n)[0], problem["f"]
+        k, m = b.shape[1], f.shape[1]
+        assert (s <= 0).all() and (x[:, problem["below"]] <= 0).all()
+        for i in range(3):
+            ok = a[3][i]
+            size = k + m
+            p, q = np.r_[np.zeros(k), problem["p"]], np.r_[-0.02 * b.sum(axis=0), problem["q"]]
+            terms = [admm.dense_term(np.hstack([b, f])[ok], admm.pinball(a[1][i], 1.0, problem["log"][ok])), admm.dense_term(np.eye(k, size), admm.soft(a[2][i])), admm.dense_term(np.hstack([b, np.zeros((n, m))]), admm.at_most(0.0))]
+            if problem["below"].any():
+                terms.append(admm.dense_term(np.eye(m, size, k)[problem["below"]], admm.at_most(0.0)))
+            v = admm.solve(np.diag(p + 1e-12), q, terms, rho=1.0, iterations=4000, tolerance=1e-9)
+            z, c = v[:k], v[k:]
+            c[problem["below"]] = np.minimum(c[problem["below"]], 0)
+            over = max((b @ z).max(), 0.0)
+            z = z + np.r_[over, np.zeros(k - 1)]
+            tail = lambda r, i=i: np.maximum(a[1][i] * r, (a[1][i] - 1) * r).sum()  # noqa: E731, B023
+            split = tail((problem["log"] - b @ z - f @ c)[ok]) + a[2][i] * np.abs(z).sum() - 0.02 * (b @ z).sum() + 0.5 * problem["p"] @ (c * c) + problem["q"] @ c
+            lone = tail((problem["log"] - s[i] - f @ x[i])[ok]) - 0.02 * s[i].sum() + 0.5 * problem["p"] @ (x[i] ** 2) + problem["q"] @ x[i]
+            # The cheapest teeth that make the soiling that was found.
+            z = admm.solve(1e-9 * np.eye(k), np.zeros(k), [admm.dense_term(b, admm.within(s[i] - 1e-6, s[i] + 1e-6)), admm.dense_term(np.eye(k), admm.soft(1.0))], rho=10.0, iterations=6000, tolerance=1e-9)
+            assert np.abs(b @ z - s[i]).max() < 1e-6 and lone + a[2][i] * np.abs(z).sum() <= split + 1e-6
+        alone = dc.loss_fits([a])[0]
+        assert np.allclose(alone[1], s, atol=1e-4)
+
+
+def test_monte_carlo_rates_settle_as_one_by_one():
+    rng = np.random.default_rng(2)
+    energy = np.exp(3 + 0.001 * rng.standard_normal(24) - 0.3 * np.arange(24) / 365)
+    got = detect.monte_carlo_rates(energy, np.zeros(24, int), most=70)
+    one, rates = np.random.default_rng(0), []
+    problem = dc.loss_problem(energy)
+    states = []
+    while len(rates) < 70:
+        tau, weight, use = one.uniform(0.85, 0.95), one.uniform(0.1, 1.0), np.ones((1, 24), bool)
+        use[0, one.choice(24, 4, replace=False)] = False
+        rates.append(dc.loss_fits([(problem, np.array([tau]), np.array([weight]), use, 0.02, True)])[0][0][0, problem["edges"][1]])
+        states.append(detect.unbiased_quantiles(np.array(rates), (0.5, 0.025, 0.975)))
+        moves = np.abs(np.diff(detect.yearly_percent(np.array(states)), axis=0))
+        if len(rates) >= 20 and (moves[-1] <= [5e-3, 1e-2, 1e-2]).all() and (moves[-10:].mean(axis=0) <= [5e-3, 1e-2, 1e-2]).all():
+            break
+    assert got["samples"] == len(rates) and np.allclose([got["rate"], got["low"], got["high"]], states[-1], atol=1e-4)
+    # Of the value at the year's end.
+    assert abs(detect.yearly_percent(np.log(0.98)) + 100 * 0.02 / 0.98) < 1e-9
+
+
+def test_many_loss_fits_take_little_time_each():
+    rng = np.random.default_rng(3)
+    asked = [(dc.loss_problem(np.exp(3 + 0.1 * rng.standard_normal(n))), rng.uniform(0.85, 0.95, 60), rng.uniform(0.1, 1.0, 60), rng.random((60, n)) < 0.8, 0.02, True) for n in rng.integers(4, 25, 20)]
+    began = time.process_time()
+    found = dc.loss_fits(asked)
+    assert (time.process_time() - began) / (60 * len(found)) < 0.01
+    assert all(np.isfinite(x).all() and np.isfinite(s).all() for x, s in found)

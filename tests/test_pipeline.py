@@ -147,6 +147,19 @@ def test_losses_add_up(fleet):
     assert abs(loc.longitude) < 15
 
 
+def test_fleet_report_has_sampled_rates_and_their_bounds(spark):
+    rows = analyses.fleet_report(spark, "/root/testdata/sf0.001").collect()
+    done = [r for r in rows if r.run_loss_analysis_error == "No error"]
+    assert done and all(r.deg_rate_lower_bound <= r.degradation_rate <= r.deg_rate_upper_bound for r in done)
+
+
+def test_losses_of_no_usable_day_are_an_error(spark):
+    days = spark.createDataFrame([("dead", datetime(2021, 1, 1).date(), 0.0, 0, False), ("dead", datetime(2021, 1, 2).date(), 0.0, 0, None)], "system_id string, day date, energy double, capacity_label int, no_errors boolean")
+    (r,) = pipeline.loss_analysis(days).collect()
+    assert r.error == "ValueError: no usable days" and r.rate is None and r.baseline is None
+    assert pipeline.loss_summary(pipeline.loss_analysis(days)).first().run_loss_analysis_report_error == "no components"
+
+
 def spark_systems(results):
     return results.sparkSession.createDataFrame([("cut",), ("absent",)], "system_id string")
 
